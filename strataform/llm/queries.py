@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import storage
+from . import bpe, storage
 from .exact_dedup import exact_dedup
+from .langid import identify
 from .mixing import MIX_SQL, mix
 from .simhash import simhash_dedup
 from .warc import MIN_PAYLOAD, archive_pages
 
 
+#: The public vocabulary file that op8 and the pipeline use; it is read where it lies.
+WORD_BPE = os.environ.get("STRATAFORM_WORD_BPE", "/opt/tokenizers/word_bpe_49k.json")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -25,6 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": lambda spark, d: simhash_dedup(_documents(spark, d)),
     "op4_source_mixing": lambda spark, d: mix(_documents(spark, d)).drop("copies"),
     "op6_warc_revisits": lambda spark, d: archive_pages(_pages(spark, d), storage.scratch_path(spark, "warc")),
+    "op3_language_id": lambda spark, d: identify(_documents(spark, d)),
+    "op8_word_bpe": lambda spark, d: bpe.encode_documents(_documents(spark, d), WORD_BPE),
     "op10_exact_dedup": lambda spark, d: exact_dedup(_documents(spark, d)),
 }
 
