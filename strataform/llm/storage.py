@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The planner's estimate for rows whose size it does not know is far above this.
+UNKNOWN_BYTES = 1 << 55
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` if the session has one.
 
@@ -45,8 +49,15 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def parts(df: DataFrame, bytes_each: int, least: int | None = None) -> int:
-    """A partition count that follows the input's size, the session's setting at least."""
-    return max(least or shuffle_partitions(df), min(1 << 20, -(-estimated_bytes(df) // bytes_each)))
+    """A partition count that follows the input's size, the session's setting at least.
+
+    Where the planner has no estimate (in-memory rows), the strings are measured.
+    """
+    size = estimated_bytes(df)
+    if size >= UNKNOWN_BYTES:
+        held = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+        size = sum(df.agg(*held).first()) // 2 if held else 0
+    return max(least or shuffle_partitions(df), min(1 << 20, -(-size // bytes_each)))
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
