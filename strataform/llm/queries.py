@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe, storage
 from .exact_dedup import exact_dedup
 from .langid import identify
+from .line_dedup import line_dedup
 from .mixing import MIX_SQL, mix
 from .quality_classifier import classify
 from .quality_rules import quality_rules
@@ -31,6 +32,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": lambda spark, d: line_dedup(_documents(spark, d)),
     "op2_simhash_near_dedup": lambda spark, d: simhash_dedup(_documents(spark, d)),
     "op4_source_mixing": lambda spark, d: mix(_documents(spark, d)).drop("copies"),
     "op6_warc_revisits": lambda spark, d: archive_pages(_pages(spark, d), storage.scratch_path(spark, "warc")),
