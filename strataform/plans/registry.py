@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import consistency, documents, relational, series
+
+_ALL = documents.Q | series.Q | consistency.Q | relational.Q
+
+QUERIES = {name: run for name, (run, _) in _ALL.items()}
+ORACLE_SQL = {name: text for name, (_, text) in _ALL.items() if text}
