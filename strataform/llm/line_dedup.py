@@ -6,8 +6,9 @@ edits around it allow. So every line is indexed by its segments and probes the
 indexes of lines of its own length and of up to EDITS less by the substrings at those places.
 Lines that meet are verified with a banded bit-parallel edit distance, many pairs at once.
 
-Equal lines are one line throughout. Keys that many lines share are not paired up where they
-meet: their lines are dealt into pairs of blocks of ``CROWD`` and verified there, so only links come out.
+Equal lines are one line throughout. Every key carries its line's character counts (16 classes,
+modulo 16): an edit moves them by two at most, so pairs further apart are no links and are not sent on.
+Keys that more than ``CROWD`` lines share are dealt into pairs of blocks of that size and verified there.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .textarrays import U64, WORD_BYTE, mix, slices, span_hash, texts, words
 EDITS = 2
 #: Shorter lines are compared for equality only: two edits would link most of them.
 MIN_CHARS = 20
-CROWD = 256
+CROWD = 1024
 #: Up to so many candidate lines (8 bytes each) are broadcast to fetch their texts; more by a shuffle.
 BROADCAST_LINES = 1_000_000
 PACK_BYTES = 8 << 20
@@ -109,6 +110,29 @@ def _points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return points, lead[t.offsets]
 
 
+def signatures(points: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Counts of each line's code points in 16 classes, modulo 16, four bits each."""
+    n = len(first) - 1
+    owner = np.repeat(np.arange(n), np.diff(first))
+    kind = ((points * np.uint32(2654435761)) >> np.uint32(28)).astype(np.int64)
+    counts = np.bincount(owner * 16 + kind, minlength=16 * n).reshape(n, 16).astype(np.uint64) & U64(15)
+    return np.bitwise_or.reduce(counts << (np.arange(16, dtype=np.uint64) * U64(4)), axis=1)
+
+
+_LANES = U64(0x0F0F0F0F0F0F0F0F)
+_ONES = U64(0x0101010101010101)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A lower bound of how far the character counts behind two signatures differ."""
+    total = np.zeros(np.broadcast(a, b).shape, np.uint64)
+    for shift in (U64(0), U64(4)):
+        d = (((a >> shift) & _LANES) + U64(16) * _ONES - ((b >> shift) & _LANES)) & _LANES
+        far = (d >> U64(3)) & _ONES  # 8 and more: the shorter way round is 16 - d
+        total += (((d ^ (far * U64(15))) + far) * _ONES) >> U64(56)
+    return total
+
+
 def _pack(buckets: int, edits: int, least: int):
     def run(batches):
         for batch in batches:
@@ -123,19 +147,20 @@ def _pack(buckets: int, edits: int, least: int):
                 flat = np.concatenate([[0], np.cumsum(size)])
                 points = points[np.arange(flat[-1]) + np.repeat(first[long] - flat[:-1], size)]
                 key, owner = line_keys(points, flat, edits)
-                line = h[one][long][owner]
+                line, mark = h[one][long][owner], signatures(points, flat)[owner]
                 bucket = (((key >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(cuts) > 0)
-                key, line = key[order], line[order]
+                key, line, mark = key[order], line[order], mark[order]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(full, pa.int32()),
                         pa.array([key[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
                         pa.array([line[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
+                        pa.array([mark[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
                     ],
-                    ["bucket", "keys", "lines"],
+                    ["bucket", "keys", "lines", "marks"],
                 )
 
     return run
@@ -144,43 +169,64 @@ def _pack(buckets: int, edits: int, least: int):
 _MEETS = pa.schema([("grp", pa.int64()), ("a_block", pa.int32()), ("b_block", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _meet(key, packs):
-    """Lines of one bucket that share a key: pairs (a, b), or for crowded keys rows of pairs of blocks."""
-    k = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in packs.column("keys")])
-    line = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in packs.column("lines")])
-    order = np.lexsort((line, k))
-    k, line = k[order], line[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (line[1:] != line[:-1])])
-    k, line = k[new], line[new]
-    name = k >> U64(1)
-    cut = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-    size = np.diff(np.concatenate([cut, [len(k)]]))
-    indexed = np.add.reduceat((k & U64(1)) == 0, cut).astype(np.int64)
-    probing = size - indexed
-    live = np.flatnonzero((indexed > 0) & (probing > 0) & (size > 2))
-    live = np.concatenate([live, np.flatnonzero((indexed == 1) & (probing == 1) & (line[cut] != line[np.minimum(cut + 1, len(line) - 1)]))])
-    crowded = np.maximum(indexed[live], probing[live]) > CROWD
-    pairs = live[~crowded]
-    count = indexed[pairs] * probing[pairs]
-    which = np.repeat(np.arange(len(pairs)), count)
-    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    a = line[cut[pairs][which] + nth // probing[pairs][which]]
-    b = line[cut[pairs][which] + indexed[pairs][which] + nth % probing[pairs][which]]
-    low, high = np.minimum(a, b), np.maximum(a, b)
+def _pairs(line: np.ndarray, mark: np.ndarray, cut: np.ndarray, indexed: np.ndarray, probing: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of an index row and a probe row of one key whose character counts are near enough."""
+    lows, highs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    total = np.cumsum(indexed * probing)
+    lo = 0
+    while lo < len(cut):  # about two million pairs at a time
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (2 << 20), "right")))
+        n, m, at = indexed[lo:hi], probing[lo:hi], cut[lo:hi]
+        count = n * m
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        wide = np.repeat(m, count)
+        a = np.repeat(at, count) + nth // wide
+        b = np.repeat(at + n, count) + nth % wide
+        near = (line[a] != line[b]) & (apart(mark[a], mark[b]) <= U64(2 * edits))
+        a, b = line[a[near]], line[b[near]]
+        lows.append(np.minimum(a, b))
+        highs.append(np.maximum(a, b))
+        lo = hi
+    low, high = np.concatenate(lows), np.concatenate(highs)
     order = np.lexsort((high, low))
     low, high = low[order], high[order]
-    keep = (low != high) & np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])[: len(low)]
-    out = [pa.table([pa.nulls(int(keep.sum()), pa.int64()), pa.nulls(int(keep.sum()), pa.int32()), pa.nulls(int(keep.sum()), pa.int32()), pa.array(low[keep]), pa.array(high[keep])], schema=_MEETS)]
-    for g in live[crowded]:
-        members = np.unique(line[cut[g] : cut[g] + size[g]])
-        blocks = -(-len(members) // CROWD)
-        block = np.arange(len(members)) * blocks // len(members)
-        for x in range(blocks):
-            for y in range(x, blocks):
-                own = members[(block == x) | (block == y)]
-                n = len(own)
-                out.append(pa.table([pa.array(np.full(n, name[cut[g]].astype(np.int64))), pa.array(np.full(n, x), pa.int32()), pa.array(np.full(n, y), pa.int32()), pa.array(own), pa.nulls(n, pa.int64())], schema=_MEETS))
-    return pa.concat_tables(out)
+    once = np.ones(len(low), bool)
+    once[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    return low[once], high[once]
+
+
+def _meet(edits: int, crowd: int):
+    """Lines of one bucket that share a key: pairs (a, b), or for crowded keys rows of pairs of blocks."""
+
+    def run(key, packs):
+        k, line, mark = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in packs.column(c)]) for c, kind in (("keys", np.uint64), ("lines", np.int64), ("marks", np.uint64)))
+        order = np.lexsort((line, k))
+        k, line, mark = k[order], line[order], mark[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (line[1:] != line[:-1])])
+        k, line, mark = k[new], line[new], mark[new]
+        name = k >> U64(1)
+        cut = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        size = np.diff(np.concatenate([cut, [len(k)]]))
+        indexed = np.add.reduceat((k & U64(1)) == 0, cut).astype(np.int64)
+        probing = size - indexed
+        live = (indexed > 0) & (probing > 0)
+        crowded = live & (np.maximum(indexed, probing) > crowd)
+        few = np.flatnonzero(live & ~crowded)
+        low, high = _pairs(line, mark, cut[few], indexed[few], probing[few], edits)
+        none = pa.nulls(len(low), pa.int32())
+        out = [pa.table([pa.nulls(len(low), pa.int64()), none, none, pa.array(low), pa.array(high)], schema=_MEETS)]
+        for g in np.flatnonzero(crowded):
+            members = np.unique(line[cut[g] : cut[g] + size[g]])
+            blocks = -(-len(members) // crowd)
+            block = np.arange(len(members)) * blocks // len(members)
+            for x in range(blocks):
+                for y in range(x, blocks):
+                    own = members[(block == x) | (block == y)]
+                    n = len(own)
+                    out.append(pa.table([pa.array(np.full(n, name[cut[g]]).view(np.int64)), pa.array(np.full(n, x), pa.int32()), pa.array(np.full(n, y), pa.int32()), pa.array(own), pa.nulls(n, pa.int64())], schema=_MEETS))
+        return pa.concat_tables(out)
+
+    return run
 
 
 def within(a: list[str], b: list[str], edits: int = EDITS) -> np.ndarray:
@@ -200,8 +246,13 @@ def within(a: list[str], b: list[str], edits: int = EDITS) -> np.ndarray:
         out[i] = _plain(short[i], tall[i]) <= edits
     live = np.flatnonzero((t - s <= edits) & ~tiny)
     live = live[np.argsort(t[live], kind="stable")]
-    for lo in range(0, len(live), 2048):
-        rows = live[lo : lo + 2048]
+    lo = 0
+    while lo < len(live):  # longest last: up to 2048 pairs of about 2**19 characters in all
+        hi = lo + max(1, min(2048, (1 << 19) // (int(t[live[lo]]) + 1)))
+        if hi < len(live) and t[live[hi - 1]] > 2 * t[live[lo]] + 64:
+            hi = lo + int(np.searchsorted(t[live[lo:hi]], 2 * t[live[lo]] + 64, "right"))
+        rows = live[lo:hi]
+        lo = hi
         out[rows] = _band([short[i] for i in rows], [tall[i] for i in rows], s[rows], t[rows], edits)
     return out
 
@@ -265,26 +316,29 @@ def _verify(edits: int):
 def _verify_blocks(edits: int):
     def run(key, rows):
         rows = rows.sort_by("a")
-        line, text = rows.column("a").to_numpy(), rows.column("text").to_pylist()
+        line, column = rows.column("a").to_numpy(), rows.column("text")
+        text = column.to_pylist()
+        mark = signatures(*_points(column))
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        size = np.array([len(x) for x in text])
-        for i in range(len(line) - 1):
-            j = i + 1 + np.flatnonzero(np.abs(size[i + 1 :] - size[i]) <= edits)
-            good = within([text[i]] * len(j), [text[x] for x in j], edits)
-            us.append(np.full(int(good.sum()), line[i]))
+        for lo in range(0, len(line), 256):
+            i, j = np.nonzero(apart(mark[lo : lo + 256, None], mark[None, :]) <= U64(2 * edits))
+            i += lo
+            i, j = i[i < j], j[i < j]
+            good = within([text[x] for x in i], [text[x] for x in j], edits)
+            us.append(line[i[good]])
             vs.append(line[j[good]])
         return pa.table([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["a", "b"])
 
     return run
 
 
-def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
     """(a, b): all pairs a < b of distinct lines (by hash) within ``edits``, of ``min_chars`` characters or more."""
     if min_chars <= edits:
         raise ValueError("lines must be longer than the edits allowed")
     buckets = storage.parts(docs, PACK_BYTES)
-    packs = docs.select("text").mapInArrow(_pack(buckets, edits, min_chars), "bucket int, keys binary, lines binary")
-    meets = storage.materialize(packs.groupBy("bucket").applyInArrow(_meet, "grp long, a_block int, b_block int, a long, b long"), "meets")
+    packs = docs.select("text").mapInArrow(_pack(buckets, edits, min_chars), "bucket int, keys binary, lines binary, marks binary")
+    meets = storage.materialize(packs.groupBy("bucket").applyInArrow(_meet(edits, crowd), "grp long, a_block int, b_block int, a long, b long"), "meets")
     pairs, crowds = meets.where("grp is null").select("a", "b").distinct(), meets.where("grp is not null")
     wanted = storage.materialize(meets.select(F.explode(F.array("a", "b")).alias("line")).where("line is not null").distinct(), "candidates")
     few = wanted.count() <= BROADCAST_LINES
