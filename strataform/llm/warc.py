@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from . import storage
 
 MIN_PAYLOAD = 100
-FILE_BYTES = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
@@ -83,10 +82,12 @@ def records(resolved: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD) -> None:
-    """Write deduplicated ``.warc`` archives (gzip) of ``pages`` (page_id, url, html) to a folder."""
+    """Write deduplicated ``.warc`` archives (gzip) of ``pages`` (page_id, url, html) to a folder.
+
+    One archive per task of the join that gives each page its original: payloads are shuffled once at most.
+    """
     headers = with_digests(pages).select("page_id", "payload_bytes", "payload_digest")
-    files = storage.parts(pages, FILE_BYTES)
-    records(resolve(headers, min_payload), pages).repartition(files).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    records(resolve(headers, min_payload), pages).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parse(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
