@@ -61,7 +61,7 @@ Q = {
     "a01_rollup_minute": (lambda s, d: _rounded(S.rollup(T.event_points(s, d))), f"WITH {POINTS_SQL} {_rollup_sql(60_000)}"),
     "a02_rollup_coarse": (lambda s, d: _rounded(S.coarsen(S.rollup(T.event_points(s, d)), 600_001)), f"WITH {POINTS_SQL} {_rollup_sql(660_000)}"),
     "a02_rollup_range": (lambda s, d: _rounded(S.coarsen(S.rollup(T.event_points(s, d)), _HOUR, 1_704_200_030_000, 1_704_500_030_000)).select("series", "bucket", "n", "total"), f"WITH {POINTS_SQL}, m AS (SELECT *, ts_ms - ts_ms % 60000 AS minute FROM points) SELECT series, minute - minute % {_HOUR} AS bucket, count(*) AS n, round(sum(value), 4) AS total FROM m WHERE minute + 60000 > 1704200030000 AND minute <= 1704500030000 GROUP BY 1, 2"),
-    "a03_rollup_average": (lambda s, d: S.rollup(T.event_points(s, d), S.DAY_MS).select("series", "bucket", F.round(F.col("total") / F.col("n"), 4).alias("mean")), f"WITH {POINTS_SQL} SELECT series, ts_ms - ts_ms % 86400000 AS bucket, round(avg(value), 4) AS mean FROM points GROUP BY 1, 2"),
+    "a03_rollup_average": (lambda s, d: S.rollup(T.event_points(s, d), S.DAY_MS).select("series", "bucket", F.round(F.col("total") / F.col("n"), 9).alias("mean")), f"WITH {POINTS_SQL} SELECT series, ts_ms - ts_ms % 86400000 AS bucket, round(sum(value) / count(*), 9) AS mean FROM points GROUP BY 1, 2"),
     "w04_first_last_by_key": (lambda s, d: S.rollup(T.event_points(s, d), S.DAY_MS, "key").select("series", "bucket", "first", "last"), f"WITH {POINTS_SQL} SELECT series, ts_ms - ts_ms % 86400000 AS bucket, arg_min(value, key) AS first, arg_max(value, key) AS last FROM points GROUP BY 1, 2"),
     "p04_ts_range": (lambda s, d: S.in_range(T.event_points(s, d), 1_704_300_000_000, 1_704_400_000_000, "click"), f"WITH {POINTS_SQL} SELECT key, series, ts_ms, value FROM points WHERE series = 'click' AND ts_ms BETWEEN 1704300000000 AND 1704400000000"),
     "f02_extract_points": (lambda s, d: S.extract_points(T.event_docs(s, d)), "SELECT event_type || ':' || event_id AS key, event_type AS series, CASE WHEN event_id % 2 = 0 THEN epoch_us(ts) // 1000 ELSE (epoch_us(ts) // 1000) + 1 END AS ts_ms, user_id::DOUBLE AS value FROM events"),
