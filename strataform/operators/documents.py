@@ -153,6 +153,41 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return per.select("collection", "docs", F.sha2(F.concat(F.array_join("lines", "\n"), F.lit("\n")), 256).alias("checksum"))
 
 
+def spread_fingerprint(docs: DataFrame) -> DataFrame:
+    """(collection, docs, checksum) of live documents by sums of hashes, for collections too large to sort into one text.
+
+    Per document the SHA-256 of ``key=clock`` is cut into four 60-bit numbers; their sums combine before the shuffle.
+    """
+    line = F.sha2(F.concat("key", F.lit("="), "clock").cast("binary"), 256)
+    part = lambda k: F.conv(F.substring(line, 15 * k + 1, 15), 16, 10).cast("decimal(38,0)")
+    per = live(docs).groupBy("collection").agg(F.count(F.lit(1)).alias("docs"), *[F.sum(part(k)).alias(f"s{k}") for k in range(4)])
+    return per.select("collection", "docs", F.concat_ws("-", *[F.col(f"s{k}").cast("string") for k in range(4)]).alias("checksum"))
+
+
+def collection_stats(docs: DataFrame) -> DataFrame:
+    """(collection, docs, deleted, first_key, last_key, bytes)."""
+    return docs.groupBy("collection").agg(
+        F.count(F.lit(1)).alias("docs"), F.count_if("deleted").alias("deleted"), F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.sum(F.octet_length("doc")).cast("long").alias("bytes")
+    )
+
+
+def node_collections(docs: DataFrame) -> DataFrame:
+    """(node, collection, docs): what each node tells of its collections, all in one pass."""
+    return live(docs).groupBy("node", "collection").agg(F.count(F.lit(1)).alias("docs"))
+
+
+def fetch(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """The live documents that index hits point to; a hit without one is gone."""
+    return hits.join(live(docs), ["collection", "key"])
+
+
+def flat_text(json: Column) -> Column:
+    """Field names and scalar leaves of a JSON text in order, joined by spaces; null where it is no JSON."""
+    plain = F.to_json(F.try_parse_json(json))
+    leaves = F.regexp_extract_all(plain, F.lit(r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false'), F.lit(0))
+    return F.array_join(F.from_json(F.concat(F.lit("["), F.array_join(leaves, ","), F.lit("]")), "array<string>"), " ")
+
+
 def key_index(entries: DataFrame) -> DataFrame:
     """Latest place of each (collection, key) over engines and nodes."""
     return latest(entries, ["collection", "key"], "updated_ms")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,21 +25,45 @@ def content(prev, lsn, kind, collection, key, payload):
 def build_chain(entries: DataFrame) -> DataFrame:
     """Add prev_hash and entry_hash per node in order of lsn.
 
-    A chain is sequential, so each node's entries are hashed in one task, which keeps one hash at a time.
+    A chain is sequential, so each node's entries pass through one task; they are sorted by the engine, which
+    can spill, and stream by in Arrow batches. The task holds one batch and one hash.
     """
-    schema = entries.select("node", "lsn", "type", "collection", "key", "payload").schema.add("prev_hash", "string").add("entry_hash", "string")
+    fields = ["node", "lsn", "type", "collection", "key", "payload"]
+    rows = entries.select(*fields)
+    schema = rows.schema.add("prev_hash", "string").add("entry_hash", "string")
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, last, begun = None, GENESIS, False
+        for batch in batches:
+            prevs, hashes = [], []
+            for who, *rest in zip(*(batch.column(f).to_pylist() for f in fields), strict=True):
+                if not begun or who != node:
+                    node, last, begun = who, GENESIS, True
+                prevs.append(last)
+                text = "".join(f"{len(x)}:{x}" for x in (last, *("" if v is None else str(v) for v in rest)))
+                last = hashlib.sha256(text.encode()).hexdigest()
+                hashes.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], names=[*fields, "prev_hash", "entry_hash"])
+
+    return rows.repartition("node").sortWithinPartitions("node", "lsn").mapInArrow(chain, schema)
+
+
+def links(chain: DataFrame) -> DataFrame:
+    """Add ``linked``: whether prev_hash is the hash of the node's entry before (zeros for the first one)."""
+    before = F.lag("entry_hash", 1, GENESIS).over(Window.partitionBy("node").orderBy("lsn"))
+    return chain.withColumn("linked", F.col("prev_hash").eqNullSafe(before))
+
+
+def segment_linked(chain: DataFrame) -> DataFrame:
+    """(node, entries, linked): whether every entry of a peer's segment but its first follows the one before."""
+    before = F.lag("entry_hash").over(Window.partitionBy("node").orderBy("lsn"))
+    return chain.withColumn("ok", before.isNull() | (F.col("prev_hash") == before)).groupBy("node").agg(F.count(F.lit(1)).alias("entries"), F.bool_and("ok").alias("linked"))
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lsn")
-        prev, prevs, hashes = GENESIS, [], []
-        for r in pdf.itertuples():
-            text = "".join(f"{len(x)}:{x}" for x in (prev, str(r.lsn), r.type or "", r.collection or "", r.key or "", r.payload or ""))
-            prevs.append(prev)
-            prev = hashlib.sha256(text.encode()).hexdigest()
-            hashes.append(prev)
-        return pdf.assign(prev_hash=prevs, entry_hash=hashes)
 
-    return entries.select("node", "lsn", "type", "collection", "key", "payload").groupBy("node").applyInPandas(chain, schema)
+def signature_counts(chain: DataFrame) -> DataFrame:
+    """One row: entries checked, those with a signature, those without."""
+    signed = F.coalesce(F.col("signature"), F.lit("")) != ""
+    return chain.agg(F.count(F.lit(1)).alias("checked"), F.count_if(signed).alias("signed"), F.count_if(~signed).alias("unsigned"))
 
 
 def verify(chain: DataFrame) -> DataFrame:
@@ -156,3 +181,29 @@ def assemble_chunks(chunks: DataFrame) -> DataFrame:
     """(key_hash, payload) of messages all of whose chunks are there."""
     per = chunks.dropDuplicates(["key_hash", "chunk_index"]).groupBy("key_hash", "chunk_total").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("chunk_index", "payload"))).alias("p"))
     return per.where("n = chunk_total").select("key_hash", F.array_join(F.transform("p", lambda x: x["payload"]), "").alias("payload"))
+
+
+def pending(events: DataFrame) -> DataFrame:
+    """Held envelopes: (owner, key_hash) whose newest event is a HOLD."""
+    return latest(events, ["owner", "key_hash"], "lsn").where("type = 'HOLD'")
+
+
+def checkpoint_plan(ledger: DataFrame, votes: DataFrame, below: int) -> DataFrame:
+    """One row: the quorum's decision, intents that wait for a claim, entries that pruning removes, and whether it may go on."""
+    waiting = unclaimed(ledger, below).agg(F.count(F.lit(1)).alias("waiting"))
+    kept = prune(ledger, below).agg(F.count(F.lit(1)).alias("kept"))
+    whole = ledger.agg(F.count(F.lit(1)).alias("entries"))
+    row = votes.select("decision").join(waiting, F.lit(True)).join(kept, F.lit(True)).join(whole, F.lit(True))  # four single rows
+    return row.select("decision", "waiting", (F.col("entries") - F.col("kept")).alias("removed"), ((F.col("decision") == "ok") & (F.col("waiting") == 0)).alias("allowed"))
+
+
+def first_deliveries(messages: DataFrame) -> DataFrame:
+    """Each message id once, as first sent (by ``at``); an empty or null id is never a repeat."""
+    named = F.coalesce(F.col("message_id"), F.lit("")) != ""
+    once = messages.where(named).groupBy("message_id").agg(F.min_by(F.struct(*messages.columns), "at").alias("r")).select("r.*")
+    return once.unionByName(messages.where(~named))
+
+
+def claims_by_holder(intents: DataFrame) -> DataFrame:
+    """(holder, claims, first, last): what each holder is to be asked for, summed up before the shuffle."""
+    return intents.groupBy("holder").agg(F.count(F.lit(1)).alias("claims"), F.min("key_hash").alias("first"), F.max("key_hash").alias("last"))

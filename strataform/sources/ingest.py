@@ -73,8 +73,8 @@ def read(spark: SparkSession, path: str, kind: str, schema=None, **options) -> D
 
 
 def typed(df: DataFrame, numeric: list[str]) -> DataFrame:
-    """Columns of text as doubles; cells that are no number become null."""
-    return df.withColumns({c: F.col(c).try_cast("double") for c in numeric})
+    """Columns of text as doubles; cells that are no plain decimal number (hex, NaN, 1d, empty) become null."""
+    return df.withColumns({c: F.when(F.trim(c).rlike("^" + _NUMBER.pattern), F.trim(c).try_cast("double")) for c in numeric})
 
 
 def chunk_records(docs: DataFrame, field: str, size: int = CHUNK_CHARS, least: int = SPLIT_ABOVE) -> DataFrame:
