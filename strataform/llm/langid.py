@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import LETTER_BYTE, Texts, mix, slices, texts, words
+from .textarrays import LETTER_BYTE, Texts, mix, slices, span_strings, texts, words
 
 MAX_GRAM = 4
 #: Bounds of the fit: labelled texts in all, characters of each, and known words and n-grams.
@@ -26,6 +26,9 @@ FIT_CHARS = 20_000
 KNOWN_WORDS = 50_000
 KNOWN_GRAMS = 100_000
 MIN_COUNT = 3
+#: The fit takes so many characters, or distinct words, at a time; results don't depend on it.
+FIT_PIECE = 1 << 20
+FIT_WORDS = 50_000
 UNDETERMINED = "und"
 #: Texts count as this many independent words at most when the score is made.
 EVIDENCE = 20.0
@@ -77,11 +80,18 @@ def _grams(t: Texts, start: np.ndarray, end: np.ndarray, n: int) -> tuple[np.nda
     return h[same], owner[: len(points) - n + 1][same]
 
 
-def _table(h: np.ndarray, label: np.ndarray, languages: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Known entries (the most frequent, ties by hash) and their smoothed log frequencies by language."""
+def _count(h: np.ndarray, label: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, and how often each stands in every language."""
     keys, inverse = np.unique(h, return_inverse=True)
-    counts = np.zeros((len(keys), languages))
-    np.add.at(counts, (inverse, label), 1)
+    return keys, np.bincount(inverse * languages + label, minlength=len(keys) * languages).reshape(len(keys), languages)
+
+
+def _table(pieces: list[tuple[np.ndarray, np.ndarray]], most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Known entries (the most frequent, ties by hash) and their smoothed log frequencies by language."""
+    every, part = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    keys, inverse = np.unique(every, return_inverse=True)
+    counts = np.zeros((len(keys), part.shape[1]))
+    np.add.at(counts, inverse, part)
     total = counts.sum(axis=1)
     order = np.lexsort((keys, -total))[:most]
     order = np.sort(order[total[order] >= least])
@@ -91,18 +101,35 @@ def _table(h: np.ndarray, label: np.ndarray, languages: int, most: int, least: i
 
 
 def fit(rows: pd.DataFrame) -> Model:
-    """Learn from a bounded table (text, lang)."""
+    """Learn from a bounded table (text, lang), some ``FIT_PIECE`` characters at a time."""
     languages = sorted(rows["lang"].unique())
-    t, w = letter_words(pa.array(rows["text"].tolist(), pa.string()))
-    label = np.searchsorted(np.array(languages, object), rows["lang"].to_numpy(object)) if languages else np.zeros(0, int)
-    by_word = label[w.doc()] if len(w.start) else np.zeros(0, int)
-    known, scores = _table(w.hash, by_word, len(languages), KNOWN_WORDS, MIN_COUNT)
-    _, one = np.unique(w.hash, return_index=True)  # n-grams count per distinct word, as unseen words are rare ones
+    n = len(languages)
+    label = np.searchsorted(np.array(languages, object), rows["lang"].to_numpy(object)) if n else np.zeros(0, int)
+    piece = rows["text"].str.len().cumsum().to_numpy(np.int64) // FIT_PIECE if len(rows) else np.zeros(0, int)
+    counts, keys, spelled, spoken = [(np.zeros(0, np.uint64), np.zeros((0, n)))], [np.zeros(0, np.uint64)], [pa.array([], pa.string())], [np.zeros(0, int)]
+    for k in np.unique(piece):
+        here = piece == k
+        t, w = letter_words(pa.array(rows["text"][here].tolist(), pa.string()))
+        if not len(w.start):
+            continue
+        by_word = label[here][w.doc()]
+        counts.append(_count(w.hash, by_word, n))
+        found, one = np.unique(w.hash, return_index=True)
+        keys.append(found)
+        spelled.append(span_strings(t, w.start[one], w.end[one]))
+        spoken.append(by_word[one])
+    known, scores = _table(counts, KNOWN_WORDS, MIN_COUNT)
+    _, one = np.unique(np.concatenate(keys), return_index=True)  # n-grams count per distinct word, as unseen words are rare ones
+    t = texts(pa.concat_arrays(spelled).take(pa.array(one)))
+    by_word = np.concatenate(spoken)[one]
     grams, gram_scores = [], []
-    for n in range(MAX_GRAM, 0, -1):
-        h, owner = _grams(t, w.start[one], w.end[one], n)
-        keys, s = _table(h, by_word[one][owner], len(languages), KNOWN_GRAMS, MIN_COUNT)
-        grams.append(keys)
+    for size in range(MAX_GRAM, 0, -1):
+        counts = [(np.zeros(0, np.uint64), np.zeros((0, n)))]
+        for lo in range(0, len(t), FIT_WORDS):
+            h, owner = _grams(t, t.offsets[:-1][lo : lo + FIT_WORDS], t.offsets[1:][lo : lo + FIT_WORDS], size)
+            counts.append(_count(h, by_word[lo:][owner], n))
+        found, s = _table(counts, KNOWN_GRAMS, MIN_COUNT)
+        grams.append(found)
         gram_scores.append(s)
     return Model(languages, known, scores, grams, gram_scores)
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
-from .textarrays import U64, WORD_BYTE, mix, slices, span_hash, texts, words
+from .textarrays import U64, WORD_BYTE, mix, slices, span_hash, span_strings, texts, words
 
 EDITS = 2
 #: Shorter lines are compared for equality only: two edits would link most of them.
@@ -45,13 +45,6 @@ def _line_rows(column: pa.Array):
     return t, doc[some], number[some], raw.start[some], raw.end[some], raw.hash[some]
 
 
-def _strings(t, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    size = end - start
-    first = np.concatenate([[0], np.cumsum(size)])
-    data = t.data[np.arange(first[-1]) + np.repeat(start - first[:-1], size)]
-    return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(first.astype(np.int64)), pa.py_buffer(data)]).cast(pa.string())
-
-
 def _occurrences(batches):
     for batch in batches:
         for part in slices(batch, "text"):
@@ -64,7 +57,7 @@ def _line_texts(batches):
         for part in slices(batch, "text"):
             t, _, _, start, end, h = _line_rows(part.column("text"))
             _, one = np.unique(h, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64)), _strings(t, start[one], end[one])], ["line", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64)), span_strings(t, start[one], end[one])], ["line", "text"])
 
 
 def _segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +132,7 @@ def _pack(buckets: int, edits: int, least: int):
             for part in slices(batch, "text", 1 << 20):
                 t, _, _, start, end, h = _line_rows(part.column("text"))
                 _, one = np.unique(h, return_index=True)
-                points, first = _points(_strings(t, start[one], end[one]))
+                points, first = _points(span_strings(t, start[one], end[one]))
                 long = np.flatnonzero(np.diff(first) >= least)
                 if not len(long):
                     continue

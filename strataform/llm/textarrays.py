@@ -166,6 +166,14 @@ def words(t: Texts, inside: np.ndarray = WORD_BYTE, hashed: bool = True, limit:
     return Words(start, end, np.searchsorted(start, t.offsets), h)
 
 
+def span_strings(t: Texts, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The byte spans [start, end) as strings."""
+    size = end - start
+    first = np.concatenate([[0], np.cumsum(size)])
+    data = t.data[np.arange(first[-1]) + np.repeat(start - first[:-1], size)]
+    return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(first.astype(np.int64)), pa.py_buffer(data)]).cast(pa.string())
+
+
 def windows(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Rabin-Karp hashes of every ``n`` consecutive words of one text, and where each begins."""
     count = len(hashes)
