@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,18 +105,57 @@ def ranked(peers: DataFrame) -> DataFrame:
     return peers.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "node")))
 
 
+def _fold(alpha: float):
+    """One row per task and node: the first value, and what the task's probes do to an average that enters them."""
+    keep = 1.0 - alpha
+
+    def run(values: np.ndarray) -> tuple:
+        n = len(values)
+        return (float(values[0]) if n else None, keep**n, float((alpha * keep ** np.arange(n - 1, -1, -1.0)) @ values))
+
+    def then(one: tuple, two: tuple) -> tuple:
+        return (two[0] if one[0] is None else one[0], one[1] * two[1], one[2] * two[1] + two[2])
+
+    def row(node, state) -> pd.DataFrame:
+        return pd.DataFrame([(node, *state[0], *state[1])], columns=["node", "l0", "ld", "la", "s0", "sd", "sa"])
+
+    def fold(batches):
+        at, state = None, None
+        for batch in batches:
+            for node, probes in batch.groupby("node", sort=False):
+                timed = probes["ok"] & probes["ms"].notna()
+                new = (run(probes["ms"][timed].to_numpy(float)), run(probes["ok"].to_numpy(float)))
+                if state is not None and node != at:
+                    yield row(at, state)
+                    state = None
+                at, state = node, new if state is None else (then(state[0], new[0]), then(state[1], new[1]))
+        if state is not None:
+            yield row(at, state)
+
+    return fold
+
+
 def ewma(probes: DataFrame, alpha: float = EWMA) -> DataFrame:
-    """(node, latency, success): moving averages over probes in order of time; failed probes leave the latency.
+    """(node, latency, success): moving averages over probes in order of (at, ms, ok).
 
-    One aggregate per node over its sorted probes.
+    Failed probes and those without ms leave the latency; probes without a node or ok don't count.
+    A run of probes acts on an average as x -> decay * x + add, so every task folds its part of
+    a range-partitioned order, and one row per task and node is left to fold by node: a node with
+    most of the probes is spread over all tasks.
     """
-    seq = F.array_sort(F.collect_list(F.struct("at", "ms", "ok")))
-    per = probes.groupBy("node").agg(seq.alias("p"))
-    fold = F.aggregate("p", F.struct(F.lit(None).cast("double").alias("l"), F.lit(None).cast("double").alias("s")), lambda a, x: F.struct(
-        F.when(~x["ok"], a["l"]).when(a["l"].isNull(), x["ms"]).otherwise(a["l"] + (x["ms"] - a["l"]) * alpha).alias("l"),
-        F.when(a["s"].isNull(), x["ok"].cast("double")).otherwise(a["s"] + (x["ok"].cast("double") - a["s"]) * alpha).alias("s"),
+    spark = probes.sparkSession
+    known = probes.where("node is not null and ok is not null").select(F.col("node").cast("string").alias("node"), F.col("at").cast("long").alias("at"), F.col("ms").cast("double").alias("ms"), F.col("ok").cast("boolean").alias("ok"))
+    order = ["node", "at", "ms", "ok"]
+    dealt = known.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    runs = dealt.mapInPandas(_fold(alpha), "node string, l0 double, ld double, la double, s0 double, sd double, sa double")
+    numbered = runs.withColumn("run", F.monotonically_increasing_id())  # partitions are in the order of the probes
+    per = numbered.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("run", "l0", "ld", "la", "s0", "sd", "sa"))).alias("r"))
+    nothing = F.lit(None).cast("double")
+    last = F.aggregate("r", F.struct(nothing.alias("l"), nothing.alias("s")), lambda acc, x: F.struct(
+        F.when(x["l0"].isNull(), acc["l"]).otherwise(F.coalesce(acc["l"], x["l0"]) * x["ld"] + x["la"]).alias("l"),
+        (F.coalesce(acc["s"], x["s0"]) * x["sd"] + x["sa"]).alias("s"),
     ))
-    return per.select("node", fold.alias("f")).select("node", F.col("f.l").alias("latency"), F.col("f.s").alias("success"))
+    return per.select("node", last.alias("f")).select("node", F.col("f.l").alias("latency"), F.col("f.s").alias("success"))
 
 
 # The life cycle of a node.

@@ -94,19 +94,24 @@ def _envelopes(s, d):
 _ENV_SQL = "env AS (SELECT 'o' || (o_custkey % 20) AS owner, o_orderkey::VARCHAR AS key_hash, trunc(o_totalprice)::BIGINT AS bytes, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey * 10 END AS expires_ms FROM orders)"
 
 
+def _mail(s, d):
+    return table(s, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("owner"), F.col("o_orderkey").cast("string").alias("key_hash"), F.col("o_totalprice").cast("long").alias("bytes"))
+
+
 def _receipts(s, d):
     return table(s, d, "lineitem").select(F.col("l_orderkey").alias("message_id"), F.col("l_suppkey").alias("applier"))
 
 
 def _ewma(s, d):
-    e = table(s, d, "events").where("event_id < 2000").select(F.concat(F.lit("n"), (F.col("event_id") % 4).cast("string")).alias("node"), F.col("event_id").alias("at"), F.col("value").alias("ms"), (F.col("event_type") != "error").alias("ok"))
+    e = table(s, d, "events").select(F.concat(F.lit("n"), (F.col("event_id") % 4).cast("string")).alias("node"), F.col("event_id").alias("at"), F.col("value").alias("ms"), (F.col("event_type") != "error").alias("ok"))
     return P.ewma(e).select("node", F.round("latency", 6).alias("latency"), F.round("success", 6).alias("success"))
 
 
-_EWMA_SQL = """WITH RECURSIVE p AS (SELECT 'n' || (event_id % 4) AS node, value AS ms, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS rn FROM events WHERE event_id < 2000),
-    f(node, rn, l, s) AS (SELECT node, rn, CASE WHEN ok THEN ms END, ok::INT::DOUBLE FROM p WHERE rn = 1
-        UNION ALL SELECT p.node, p.rn, CASE WHEN NOT ok THEN l WHEN l IS NULL THEN ms ELSE l + (ms - l) * 0.25::DOUBLE END, s + (ok::INT - s) * 0.25::DOUBLE FROM f JOIN p ON p.node = f.node AND p.rn = f.rn + 1)
-    SELECT node, round(max_by(l, rn), 6) AS latency, round(max_by(s, rn), 6) AS success FROM f GROUP BY 1"""
+_EWMA_SQL = """WITH p AS (SELECT 'n' || (event_id % 4) AS node, event_id, value, event_type <> 'error' AS ok FROM events),
+    x AS (SELECT node, 'success' AS what, event_id, ok::INT::DOUBLE AS v FROM p UNION ALL SELECT node, 'latency', event_id, value FROM p WHERE ok),
+    o AS (SELECT *, row_number() OVER (PARTITION BY node, what ORDER BY event_id DESC) - 1 AS age, row_number() OVER (PARTITION BY node, what ORDER BY event_id) = 1 AS first FROM x),
+    f AS (SELECT node, what, sum(v * pow(0.75::DOUBLE, age) * CASE WHEN first THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END) AS m FROM o GROUP BY 1, 2)
+    SELECT node, round(max(m) FILTER (what = 'latency'), 6) AS latency, round(max(m) FILTER (what = 'success'), 6) AS success FROM f GROUP BY 1"""
 
 
 def _fitness(s, d):
@@ -115,11 +120,11 @@ def _fitness(s, d):
 
 
 def _holders(s, d):
-    m = table(s, d, "orders").where("o_orderkey % 10 = 0").select(F.lit("n1").alias("owner"), F.col("o_orderkey").cast("string").alias("key_hash"), (F.col("o_orderkey") % 3).cast("int").alias("chunk"))
+    m = table(s, d, "orders").select(F.lit("n1").alias("owner"), F.col("o_orderkey").cast("string").alias("key_hash"), (F.col("o_orderkey") % 3).cast("int").alias("chunk"))
     return P.transit_holders(m, T.nodes(s), 3).select("key_hash", F.col("chunk").cast("long").alias("chunk"), F.col("rank").cast("long").alias("rank"), "node")
 
 
-_HOLDERS_SQL = """WITH m AS (SELECT o_orderkey::VARCHAR AS key_hash, o_orderkey % 3 AS chunk FROM orders WHERE o_orderkey % 10 = 0),
+_HOLDERS_SQL = """WITH m AS (SELECT o_orderkey::VARCHAR AS key_hash, o_orderkey % 3 AS chunk FROM orders),
     w AS (SELECT key_hash, chunk, node, row_number() OVER (PARTITION BY key_hash ORDER BY sha256('n1|' || key_hash || '|' || node) DESC) - 1 AS r FROM m, (SELECT 'n' || n AS node FROM range(5) t(n)) WHERE node <> 'n1')
     SELECT key_hash, chunk::BIGINT AS chunk, ((r - chunk) % 3 + 3) % 3 AS rank, node FROM w WHERE r < 3"""
 
@@ -137,7 +142,7 @@ Q = {
     "m01_feed_truncated": (lambda s, d: L.truncated(T.ledger(s, d).where("lsn >= 100"), 50), f"WITH {LEDGER_SQL} SELECT min(lsn) AS oldest, max(lsn) AS tip, true AS truncated FROM ledger WHERE lsn >= 100"),
     "s16_ledger_range": (lambda s, d: T.ledger(s, d).where(F.col("lsn").between(100, 9000)).orderBy("lsn").limit(5000).select("lsn", "key"), f"WITH {LEDGER_SQL} SELECT lsn, key FROM ledger WHERE lsn BETWEEN 100 AND 9000 ORDER BY lsn LIMIT 5000"),
     "w03_latest_put": (lambda s, d: L.recover(T.ledger(s, d)).select("collection", "key", "lsn"), f"WITH {LEDGER_SQL} SELECT collection, key, max(lsn) AS lsn FROM ledger WHERE type = 'PUT' GROUP BY 1, 2"),
-    "j04_unclaimed_intents": (lambda s, d: L.unclaimed(T.ledger(s, d).where("lsn < 2000"), 900), f"WITH {LEDGER_SQL} SELECT DISTINCT key_hash FROM ledger WHERE type = 'INTENT' AND lsn <= 900 AND key_hash NOT IN (SELECT key_hash FROM ledger WHERE type = 'CLAIM' AND lsn < 2000)"),
+    "j04_unclaimed_intents": (lambda s, d: L.unclaimed(T.ledger(s, d), 900), f"WITH {LEDGER_SQL} SELECT DISTINCT key_hash FROM ledger WHERE type = 'INTENT' AND lsn <= 900 AND key_hash NOT IN (SELECT key_hash FROM ledger WHERE type = 'CLAIM')"),
     "j05_settled_pairs": (lambda s, d: L.settled(T.ledger(s, d), 900).select("lsn", "key_hash"), f"WITH {LEDGER_SQL} SELECT lsn, key_hash FROM ledger WHERE type = 'INTENT' AND lsn <= 900 AND key_hash IN (SELECT key_hash FROM ledger WHERE type = 'CLAIM' AND lsn <= 900)"),
     "j06_prune_survivors": (lambda s, d: L.prune(T.ledger(s, d), 900).groupBy("type").agg(F.count(F.lit(1)).alias("n")), f"WITH {LEDGER_SQL}, g AS (SELECT key_hash FROM ledger WHERE type = 'INTENT' AND lsn <= 900 INTERSECT SELECT key_hash FROM ledger WHERE type = 'CLAIM' AND lsn <= 900) SELECT type, count(*) AS n FROM ledger WHERE NOT (type IN ('INTENT', 'CLAIM') AND lsn <= 900 AND key_hash IN (SELECT key_hash FROM g)) GROUP BY 1"),
     "a10_quorum_decision": (lambda s, d: L.quorum(table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("node"), (F.col("n_nationkey") % 3).cast("long").alias("lsn"), F.when(F.col("n_nationkey") % 12 == 0, "b").otherwise("a").alias("entry_hash")), 0, "a", 5), "SELECT count(*) FILTER (n_nationkey % 3 = 0 AND n_nationkey % 12 <> 0) AS agreeing, count(*) FILTER (n_nationkey % 12 = 0) AS conflicting, count(*) FILTER (n_nationkey % 3 <> 0) AS unverified, 5::BIGINT AS required, 'conflict' AS decision FROM nation"),
@@ -164,6 +169,6 @@ Q = {
     "m11_transit_expiry": (lambda s, d: L.expire(_envelopes(s, d), 50_000).select("key_hash"), f"WITH {_ENV_SQL} SELECT key_hash FROM env WHERE expires_ms = 0 OR expires_ms > 50000"),
     "m13_outbox_undelivered": (lambda s, d: L.undelivered(_envelopes(s, d).withColumnRenamed("key_hash", "message_id"), table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias("message_id"))).select("message_id"), f"WITH {_ENV_SQL} SELECT key_hash AS message_id FROM env WHERE key_hash NOT IN (SELECT l_orderkey::VARCHAR FROM lineitem WHERE l_returnflag = 'R')"),
     "m14_durability": (lambda s, d: L.durable(_receipts(s, d), 4), "SELECT l_orderkey AS message_id, count(DISTINCT l_suppkey) AS appliers, count(DISTINCT l_suppkey) + 1 >= 4 AS met FROM lineitem GROUP BY 1"),
-    "r08_hold_chunks": (lambda s, d: L.hold_chunks(_envelopes(s, d).where("cast(key_hash AS int) < 400"), 100_000, 6_000_000), f"WITH {_ENV_SQL}, e AS (SELECT *, greatest(ceil(bytes / 100000.0)::INT, 1) AS chunk_total FROM env WHERE key_hash::INT < 400), o AS (SELECT owner FROM e GROUP BY 1 HAVING sum(bytes) <= 6000000), x AS (SELECT *, unnest(range(chunk_total))::INT AS chunk_index FROM e WHERE owner IN (SELECT owner FROM o)) SELECT owner, key_hash, chunk_index, chunk_total, least(100000, bytes - chunk_index * 100000)::BIGINT AS bytes FROM x"),
+    "r08_hold_chunks": (lambda s, d: L.hold_chunks(_mail(s, d), 100_000, 2_000_000), "WITH e AS (SELECT 'c' || o_custkey AS owner, o_orderkey::VARCHAR AS key_hash, trunc(o_totalprice)::BIGINT AS bytes, greatest(ceil(trunc(o_totalprice) / 100000.0)::INT, 1) AS chunk_total FROM orders), o AS (SELECT owner FROM e GROUP BY 1 HAVING sum(bytes) <= 2000000), x AS (SELECT *, unnest(range(chunk_total))::INT AS chunk_index FROM e WHERE owner IN (SELECT owner FROM o)) SELECT owner, key_hash, chunk_index, chunk_total, least(100000, bytes - chunk_index * 100000)::BIGINT AS bytes FROM x"),
     "k06_quota_admission": (_admit, "WITH w AS (SELECT 'n' || (o_custkey % 10) AS node, trunc(o_totalprice)::BIGINT AS growth, o_orderkey % 2 = 0 AS merge, sum(trunc(o_totalprice)::BIGINT) OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderkey) AS total FROM orders) SELECT node, count(*) FILTER (growth <= 0 OR total <= CASE WHEN merge THEN 10500000 ELSE 10000000 END) AS admitted FROM w GROUP BY 1"),
 }

@@ -61,7 +61,7 @@ def _holds(s, d):
 
 
 def _hits(s, d):
-    return table(s, d, "orders").where("o_custkey % 50 = 0").select(F.col("o_orderpriority").alias("collection"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0").alias("key"))
+    return table(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderpriority").alias("collection"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0").alias("key"))
 
 
 def _members(s, d):
@@ -115,7 +115,7 @@ Q = {
     "l06_rechained": (lambda s, d: L.build_chain(T.talk_ledger(s, d).where("lsn <> 1")).select("node", "lsn", "prev_hash", "entry_hash"), _CHAIN_SQL.replace("FROM conversations)", "FROM conversations WHERE turn <> 1)") + " SELECT node, lsn, prev_hash, entry_hash FROM chain"),
     "l05_checkpoint_plan": (lambda s, d: L.checkpoint_plan(T.ledger(s, d), _vote(s, d, 1), 900), _PLAN_SQL),
     "l08_health": (_health, "SELECT 'links' AS \"check\", 0::HUGEINT AS problems UNION ALL SELECT 'vectors', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL) UNION ALL SELECT 'parents', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)"),
-    "j07_hit_documents": (lambda s, d: D.fetch(_hits(s, d), T.orders_docs(s, d)).select("collection", "key", "doc"), f"WITH {ORDERS_SQL} SELECT collection, key, doc FROM docs WHERE cust % 50 = 0 AND NOT deleted"),
+    "j07_hit_documents": (lambda s, d: D.fetch(_hits(s, d), T.orders_docs(s, d)).select("collection", "key", "doc"), f"WITH {ORDERS_SQL} SELECT collection, key, doc FROM docs WHERE status = 'F' AND NOT deleted"),
     "j10_rows_without_vector": (lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("vec_id")).join(table(s, d, "embeddings").select("vec_id"), "vec_id", "left_anti"), "SELECT o_orderkey AS vec_id FROM orders WHERE o_orderkey NOT IN (SELECT vec_id FROM embeddings)"),
     "k01_row_counts": (lambda s, d: T.orders_docs(s, d).groupBy("collection").agg(F.count(F.lit(1)).alias("found"), F.count_distinct("key").alias("keys")).withColumn("agree", F.col("found") == F.col("keys")), f"WITH {ORDERS_SQL} SELECT collection, count(*) AS found, count(DISTINCT key) AS keys, count(*) = count(DISTINCT key) AS agree FROM docs GROUP BY 1"),
     "u02_all_collections": (lambda s, d: D.collections(T.orders_docs(s, d)).union(D.collections(T.files(s, d))).union(D.collections(T.orders_docs(s, d))).distinct(), "SELECT o_orderpriority AS collection FROM orders UNION SELECT 'assets' FROM pages"),

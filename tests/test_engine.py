@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataform.functions import scalars, sql
-from strataform.operators import crdt, files, graph, timeseries
+from strataform.operators import crdt, files, graph, placement, timeseries
 from strataform.sources import engines, ingest
 from strataform.streaming import feed
 
@@ -79,3 +79,20 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(60)
     want = points.groupBy("series", (F.floor(F.unix_millis("ts") / 60000) * 60000).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     assert sorted(map(tuple, spark.table("rolled").select("series", "bucket", "n").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_moving_averages(spark):
+    """The fold over partitions against one probe after the other; odd rows as the operator states."""
+    rows = [("a" if i % 3 else "b", i // 2, None if i % 7 == 0 else float(i * 13 % 29), i % 5 != 0) for i in range(400)]
+    rows += [("c", 1, 5.0, False), ("d", None, 2.0, True), ("d", 3, 4.0, True), (None, 1, 1.0, True), ("a", 9, 1.0, None)] + [("e", 1, 1.0, True)] * 5
+    schema = "node string, at long, ms double, ok boolean"
+    got = {r["node"]: (r["latency"], r["success"]) for r in placement.ewma(spark.createDataFrame(rows, schema)).collect()}
+    low = lambda v: (v is not None, v or 0)
+    want = {}
+    for node, _, ms, ok in sorted((r for r in rows if r[0] and r[3] is not None), key=lambda r: (r[0], *map(low, r[1:]))):
+        latency, success = want.get(node, (None, None))
+        if ok and ms is not None:
+            latency = ms if latency is None else latency + (ms - latency) * 0.25
+        want[node] = (latency, float(ok) if success is None else success + (ok - success) * 0.25)
+    assert got == {k: (None if a is None else pytest.approx(a), pytest.approx(b)) for k, (a, b) in want.items()}
+    assert placement.ewma(spark.createDataFrame([], schema)).count() == 0
