@@ -10,12 +10,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import hlc_text
+
+
+def _kind(v):
+    name = F.schema_of_variant(v)
+    return F.when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array").when(name == "STRING", "string").when(name == "BOOLEAN", "bool").when(name == "BIGINT", "int").when(name == "VOID", "null").otherwise("double")
+
+
+def from_json(docs: DataFrame, hlc, json: str = "doc", depth: int = 16) -> DataFrame:
+    """The path table of JSON objects (collection, key, ``json``), every path written at clock ``hlc``.
+
+    Objects have a row of their own without a value, unless they are the document itself; scalars
+    have their text, arrays their JSON text (``elements`` gives their members). Null documents, text that
+    is not JSON and scalars at the top write nothing. Objects below ``depth`` levels raise an error.
+    """
+
+    def node(path, v):
+        kind = _kind(v)
+        leaf = F.when(kind == "array", F.to_json(v)).when(kind != "object", v.cast("string"))
+        return F.struct(path.alias("path"), kind.alias("kind"), leaf.alias("value"), F.when(kind == "object", F.to_json(v)).alias("inside"))
+
+    def members(path, text):
+        return F.transform(F.map_entries(F.parse_json(text).cast("map<string,variant>")), lambda e: node(F.concat(path, F.array(e["key"])), e["value"]))
+
+    top = F.try_parse_json(F.col(json).cast("string"))
+    top = docs.select("collection", "key", hlc.alias("hlc"), F.when(_kind(top) == "object", F.col(json).cast("string")).alias("inside"))
+    rows = top.select("collection", "key", "hlc", F.explode(members(F.array().cast("array<string>"), F.col("inside"))).alias("n")).select("collection", "key", "hlc", "n.*")
+    for _ in range(depth - 1):
+        self_row = F.array(F.struct("path", "kind", "value", F.lit(None).cast("string").alias("inside")))
+        both = F.when(F.col("inside").isNull(), self_row).otherwise(F.concat(self_row, members(F.col("path"), F.col("inside"))))
+        rows = rows.select("collection", "key", "hlc", F.explode(both).alias("n")).select("collection", "key", "hlc", "n.*")
+    deep = F.when(F.col("inside").isNull(), F.lit(False)).otherwise(F.raise_error(F.lit(f"objects nest deeper than {depth} levels")).cast("boolean"))
+    return rows.select("collection", "key", "path", "kind", "value", "hlc", deep.alias("tombstone"))
+
+
+def elements(paths: DataFrame) -> DataFrame:
+    """The members of a path table's arrays, each with a tag of its own, for ``merge_sets``."""
+    members = paths.where("kind = 'array'").select("collection", "key", "path", "hlc", "tombstone", F.posexplode(F.parse_json("value").cast("array<variant>")).alias("position", "v"))
+    return members.select("collection", "key", "path", F.concat(hlc_text(F.col("hlc")), F.lit("#"), F.col("position").cast("string")).alias("tag"), F.to_json("v").alias("value"), "position", "tombstone")
+
 
 def newest_writes(ops: DataFrame) -> DataFrame:
-    """The newest write per path; equal writes merge."""
-    cols = ["kind", "value", "tombstone", "hlc"]
-    new = ops.groupBy("collection", "key", "path").agg(F.max_by(F.struct(*cols), "hlc").alias("w"))
-    return new.select("collection", "key", "path", "w.*")
+    """The newest write per path; of several at one clock a tombstone wins, then the greater kind and value."""
+    cols = ["hlc", "tombstone", "kind", "value"]
+    new = ops.groupBy("collection", "key", "path").agg(F.max(F.struct(*cols)).alias("w"))
+    return new.select("collection", "key", "path", "w.kind", "w.value", "w.tombstone", "w.hlc")
 
 
 def shadowed(now: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataform.functions import scalars, sql
-from strataform.operators import crdt, files, graph, placement, timeseries
+from strataform.operators import crdt, files, graph, placement, timeseries, vectors
 from strataform.sources import engines, ingest
 from strataform.streaming import feed
 
@@ -96,3 +96,29 @@ def test_moving_averages(spark):
         want[node] = (latency, float(ok) if success is None else success + (ok - success) * 0.25)
     assert got == {k: (None if a is None else pytest.approx(a), pytest.approx(b)) for k, (a, b) in want.items()}
     assert placement.ewma(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_path_tables(spark):
+    clock = F.struct(F.lit(1).cast("long").alias("physical_ms"), F.lit(0).cast("long").alias("logical"), F.lit("n").alias("node_id"))
+    docs = spark.createDataFrame([("c", "a", '{"x": {"y": {"z": 1.5}}, "t": [true, {"u": null}], "n": null, "s": "q\\"", "e": {}}'), ("c", "b", None), ("c", "c", "not json"), ("c", "d", "[1]"), ("c", "e", "{}")], "collection string, key string, doc string")
+    paths = crdt.from_json(docs, clock)
+    got = {(r["key"], ".".join(r["path"])): (r["kind"], r["value"]) for r in paths.collect()}
+    assert got == {("a", "x"): ("object", None), ("a", "x.y"): ("object", None), ("a", "x.y.z"): ("double", "1.5"), ("a", "t"): ("array", '[true,{"u":null}]'), ("a", "n"): ("null", None), ("a", "s"): ("string", 'q"'), ("a", "e"): ("object", None)}
+    assert [(r["tag"], r["value"]) for r in crdt.elements(paths).orderBy("position").collect()] == [("1.0@n#0", "true"), ("1.0@n#1", '{"u":null}')]
+    with pytest.raises(Exception, match="deeper than 2"):
+        crdt.from_json(docs, clock, depth=2).collect()
+
+
+def test_equal_clocks(spark):
+    """Different values at one clock merge alike in every order."""
+    schema = "collection string, key string, path array<string>, kind string, value string, hlc struct<physical_ms:long,logical:long,node_id:string>, tombstone boolean"
+    writes = [("c", "k", ["x"], "int", str(v), (1, 0, "n"), False) for v in (3, 9, 5)]
+    assert {crdt.merge(spark.createDataFrame(list(p), schema)).first()["value"] for p in itertools.permutations(writes)} == {"9"}
+
+
+def test_neighbour_blocks(spark):
+    rows = [(i, [float((i * 7 + j * 3) % 11) for j in range(4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    cells = ("query_id", "rank", "vec_id")
+    assert sorted(vectors.knn_batch(df, queries, 3, max_queries=17).select(*cells).collect()) == sorted(vectors.knn_batch(df, queries, 3).select(*cells).collect())
