@@ -24,6 +24,7 @@ def from_json(docs: DataFrame, hlc, json: str = "doc", depth: int = 16) -> DataF
     Objects have a row of their own without a value, unless they are the document itself; scalars
     have their text, arrays their JSON text (``elements`` gives their members). Null documents, text that
     is not JSON and scalars at the top write nothing. Objects below ``depth`` levels raise an error.
+    A text's opening braces bound its levels: one pass counts them, so that flat documents take few.
     """
 
     def node(path, v):
@@ -37,7 +38,9 @@ def from_json(docs: DataFrame, hlc, json: str = "doc", depth: int = 16) -> DataF
     top = F.try_parse_json(F.col(json).cast("string"))
     top = docs.select("collection", "key", hlc.alias("hlc"), F.when(_kind(top) == "object", F.col(json).cast("string")).alias("inside"))
     rows = top.select("collection", "key", "hlc", F.explode(members(F.array().cast("array<string>"), F.col("inside"))).alias("n")).select("collection", "key", "hlc", "n.*")
-    for _ in range(depth - 1):
+    text = F.col(json).cast("string")
+    braces = docs.select(F.max(F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit(""))))).first()[0] or 0
+    for _ in range(min(depth, braces) - 1):
         self_row = F.array(F.struct("path", "kind", "value", F.lit(None).cast("string").alias("inside")))
         both = F.when(F.col("inside").isNull(), self_row).otherwise(F.concat(self_row, members(F.col("path"), F.col("inside"))))
         rows = rows.select("collection", "key", "hlc", F.explode(both).alias("n")).select("collection", "key", "hlc", "n.*")
