@@ -1,8 +1,8 @@
 """Quality rules: base figures of every text, and cross-document line frequency.
 
 Normalised lines (lower case, white space and digits evened out) are hashed; for each host
-the distinct documents that hold a line are counted. Lines above the limit are removed, and a
-document that this leaves with too small a share of its words is rejected.
+the distinct documents that hold a line are counted. Lines above the limit, a share of the host's
+own documents, are removed, and a document that this leaves with too small a share of its words is rejected.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from . import storage
 from .textarrays import LOWER, U64, WORD_BYTE, Texts, mix, slices, texts, windows, words
 
-#: A line that more documents of one host hold is removed there.
-MAX_DOCS_PER_HOST = 100
+#: A line that a greater share of one host's documents hold is removed there, if it is in more than ``MIN_DOCS`` of them.
+MAX_DOCS_SHARE = 0.05
+MIN_DOCS = 3
 #: A document must keep this share of its words.
 MIN_KEPT_SHARE = 0.5
 MIN_WORDS = 50
-#: Up to so many frequent lines (some 16 bytes each) are broadcast; more are joined by a shuffle.
+#: Up to so many frequent lines (some 16 bytes each), or hosts, are broadcast; more are joined by a shuffle.
 BROADCAST_LINES = 200_000
 
 _LINE_BYTE = np.ones(256, bool)
@@ -104,17 +105,25 @@ def _figures(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("host"), *values], ["doc_id", "host", *found])
 
 
-def frequent_lines(stats: DataFrame, limit: int = MAX_DOCS_PER_HOST) -> DataFrame:
-    """(host, line): lines that more than ``limit`` documents of the host hold, over all documents."""
+def frequent_lines(stats: DataFrame, limit: int | None = None) -> DataFrame:
+    """(host, line): lines that too many documents of the host hold, over all documents.
+
+    Too many are more than ``limit``; without one, more than ``MAX_DOCS_SHARE`` of the host's documents and than ``MIN_DOCS``.
+    """
     held = stats.select("host", F.explode("lines").alias("line"))
-    return held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("host", "line")
+    counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (MIN_DOCS if limit is None else limit))
+    if limit is not None:
+        return counts.select("host", "line")
+    hosts = storage.materialize(stats.groupBy("host").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") * MAX_DOCS_SHARE > MIN_DOCS), "hosts")
+    few = hosts.count() <= BROADCAST_LINES
+    return storage.join_null_safe(counts, F.broadcast(hosts) if few else hosts, ["host"]).where(F.col("docs").isNull() | (F.col("n") > F.col("docs") * MAX_DOCS_SHARE)).select("host", "line")
 
 
-def quality_rules(docs: DataFrame, limit: int = MAX_DOCS_PER_HOST, min_share: float = MIN_KEPT_SHARE) -> DataFrame:
+def quality_rules(docs: DataFrame, limit: int | None = None, min_share: float = MIN_KEPT_SHARE) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_line_words).
 
     One row per row of ``docs``; the host is the column ``source``, null being a host of its own.
-    ``n_line_words`` are the words in lines removed. Null and empty texts fail the base rules.
+    ``n_line_words`` are the words in lines removed, those of ``frequent_lines``. Null and empty texts fail the base rules.
     Rows that repeat an id are documents of their own. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.col("text").cast("string").alias("text"))

@@ -132,6 +132,21 @@ def test_quality_rules(docs, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_line_limit_follows_host(spark):
+    """The limit in use by default: a share of the host's documents, over a small floor."""
+    sizes, rows = {"small": 8, "mid": 90, "large": 400, None: 90}, []
+    for host, n in sizes.items():
+        for i in range(n):  # of each host: a line in 3 documents, one in a twentieth of them, one in a few more
+            shared = [f"line {k} of all" for k, most in (("a", 3), ("b", n // 20), ("c", max(4, n // 20 + 1))) if i < most]
+            rows.append((len(rows), "\n".join(["\n".join(shared), *(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(60))]), host))
+    got = by_id(quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    held = Counter((h, x) for _, t, h in rows for x in set(t.split("\n")))
+    over = {(h, x) for (h, x), n in held.items() if n > 3 and 20 * n > sizes[h]}
+    assert {h for h, _ in over} == set(sizes)  # hosts of any size can lose a line
+    for i, t, h in rows:
+        assert got[i]["n_line_words"] == sum(len(x.split()) for x in t.split("\n") if (h, x) in over)
+
+
 def test_bpe(docs, empty):
     path = "/opt/tokenizers/word_bpe_49k.json"
     from tokenizers import Tokenizer
