@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network.
 
 Every token has a sparse random index vector made from its hash. A token's word vector is the
-sum of its neighbours' index vectors over the training texts. A text is the mean and the
+sum of its neighbours' index vectors over all documents that are not held out. A text is the mean and the
 spread of its tokens' vectors, with a few shares of the text as a whole; a two-layer numpy
 network gives a logit, and a temperature fitted on texts set aside makes it a probability.
 Tokens that the model does not know stand as their shape (which kinds of characters, how long).
@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
 from .textarrays import U64, Texts, Words, mix, slices, texts, words
 
-#: Bounds of the fit: labelled texts and characters of each, known tokens, passes.
+#: Bounds of the fit: labelled texts (whole ones) and bytes of them in all, bytes at a time, known tokens, passes.
 FIT_TEXTS = 3000
-FIT_CHARS = 8000
+FIT_BYTES = 64 << 20
+FIT_PIECE = 1 << 20
 KNOWN_TOKENS = 20_000
 MIN_COUNT = 3
 DIMENSIONS = 48
@@ -65,14 +67,10 @@ def _tokens(column: pa.Array) -> tuple[Texts, Words, np.ndarray]:
     return t, w, mix((kinds << U64(8)) + size + U64(1 << 40))
 
 
-def _index_vectors(keys: np.ndarray) -> np.ndarray:
-    """Sparse ternary vectors that depend on the token's hash alone."""
-    out = np.zeros((len(keys), DIMENSIONS), np.float32)
-    rows = np.arange(len(keys))
-    for k in range(NONZERO):
-        h = mix(keys + U64(k * 2 + 1) * U64(0x9E3779B97F4A7C15))
-        np.add.at(out, (rows, (h % U64(DIMENSIONS)).astype(np.int64)), np.where(h >> U64(63), 1, -1).astype(np.float32))
-    return out
+def _index_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse ternary vectors that depend on the token's hash alone: places and signs of their entries."""
+    h = np.stack([mix(keys + np.array([k * 2 + 1], np.uint64) * U64(0x9E3779B97F4A7C15)) for k in range(NONZERO)], axis=1)
+    return (h % U64(DIMENSIONS)).astype(np.int64), np.where(h >> U64(63), 1, -1)
 
 
 def _ids(keys: np.ndarray, w: Words, shape: np.ndarray) -> np.ndarray:
@@ -122,22 +120,70 @@ def features(keys: np.ndarray, vectors: np.ndarray, column: pa.Array) -> np.ndar
     return np.concatenate([mean, np.sqrt(np.maximum(square / each - mean * mean, 0)), _shares(t, w)], axis=1)
 
 
-def _word_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _token_counts(batches):
+    for batch in batches:
+        for part in slices(batch, "text"):
+            _, w, shape = _tokens(part.column("text"))
+            found, count = np.unique(w.hash, return_counts=True)
+            shapes = np.unique(shape)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([found, shapes]).view(np.int64)),
+                    pa.array(np.concatenate([count, np.zeros(len(shapes), np.int64)])),
+                    pa.array(np.arange(len(found) + len(shapes)) >= len(found)),
+                ],
+                ["token", "n", "shape"],
+            )
+
+
+def neighbour_sums(keys: np.ndarray, places: np.ndarray, signs: np.ndarray, column: pa.Array) -> np.ndarray:
+    """For each known token, the sum of its neighbours' index vectors in these texts, in whole numbers."""
     _, w, shape = _tokens(column)
-    found, count = np.unique(w.hash, return_counts=True)
-    order = np.lexsort((found, -count))[:KNOWN_TOKENS]
-    known = found[order][count[order] >= MIN_COUNT]
-    keys = np.unique(np.concatenate([known, shape]))
     ids, doc = _ids(keys, w, shape), w.doc()
-    index = _index_vectors(keys)
-    out = np.zeros_like(index)
+    out = np.zeros(len(keys) * DIMENSIONS, np.int64)
     for gap in range(1, REACH + 1):
         a, b = ids[:-gap], ids[gap:]
         ok = (a >= 0) & (b >= 0) & (doc[:-gap] == doc[gap:])
-        pair, n = np.unique(a[ok] * len(keys) + b[ok], return_counts=True)
-        a, b = pair // len(keys), pair % len(keys)
-        np.add.at(out, a, index[b] * n[:, None].astype(np.float32))
-        np.add.at(out, b, np.roll(index[a], gap, axis=1) * n[:, None].astype(np.float32))  # the left side has its own order
+        a, b = a[ok], b[ok]
+        for own, other, turn in ((a, b, 0), (b, a, gap)):  # the left side has its own order
+            at = own[:, None] * DIMENSIONS + (places[other] + turn) % DIMENSIONS
+            out += np.bincount(at.ravel(), signs[other].ravel(), len(out)).astype(np.int64)
+    return out.reshape(len(keys), DIMENSIONS)
+
+
+_SUMS = [f"v{k}" for k in range(DIMENSIONS)]
+
+
+def _neighbours(box):
+    def run(batches):
+        keys, places, signs = box.value
+        total = np.zeros((len(keys), DIMENSIONS), np.int64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                total += neighbour_sums(keys, places, signs, part.column("text"))
+        some = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(total[some, k]) for k in range(DIMENSIONS))], ["token", *_SUMS])
+
+    return run
+
+
+def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Known tokens' sorted hashes, and the word vector of each, over all rows of ``docs``.
+
+    The KNOWN_TOKENS most frequent words are known, and every shape. Sums are of whole
+    numbers, so they don't depend on how rows are dealt. Tasks send one row per token at most.
+    """
+    text = docs.select("text").where("text is not null")
+    counts = storage.materialize(text.mapInArrow(_token_counts, "token long, n long, shape boolean").groupBy("token", "shape").agg(F.sum("n").alias("n")), "tokens")
+    known = counts.where(~F.col("shape") & (F.col("n") >= MIN_COUNT)).orderBy(F.desc("n"), "token").limit(KNOWN_TOKENS)
+    found = known.select("token").unionByName(counts.where("shape").select("token")).toPandas()["token"]
+    keys = np.unique(found.to_numpy(np.int64).view(np.uint64))
+    out = np.zeros((len(keys), DIMENSIONS))
+    if len(keys):
+        box = docs.sparkSession.sparkContext.broadcast((keys, *_index_places(keys)))
+        rows = text.mapInArrow(_neighbours(box), ", ".join(["token int", *(f"{c} long" for c in _SUMS)]))
+        sums = rows.groupBy("token").agg(*[F.sum(c).alias(c) for c in _SUMS]).toPandas()
+        out[sums["token"].to_numpy(int)] = sums[_SUMS].to_numpy(float)
     size = np.linalg.norm(out, axis=1, keepdims=True)
     return keys, (out / np.maximum(size, 1e-9)).astype(np.float32)
 
@@ -171,11 +217,11 @@ def _network(x: np.ndarray, y: np.ndarray, rng: np.random.Generator):
     return p[0], p[1], p[2], float(p[3][0])
 
 
-def fit(rows: pd.DataFrame) -> Model:
-    """Learn from a bounded table (text, quality)."""
-    column = pa.array(rows["text"].tolist(), pa.string())
-    keys, vectors = _word_vectors(column)
-    x, y = features(keys, vectors, column), rows["quality"].to_numpy(float)
+def fit(rows: pd.DataFrame, keys: np.ndarray, vectors: np.ndarray) -> Model:
+    """Learn from a bounded table (text, quality), some ``FIT_PIECE`` bytes at a time, and word vectors."""
+    batch = pa.RecordBatch.from_arrays([pa.array(rows["text"].tolist(), pa.string())], ["text"])
+    parts = [features(keys, vectors, part.column("text")) for part in slices(batch, "text", FIT_PIECE)]
+    x, y = np.concatenate(parts or [features(keys, vectors, batch.column("text"))]), rows["quality"].to_numpy(float)
     center, scale = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     x = np.clip((x - center) / scale, -6, 6)
     if len(x) < 10 or len(np.unique(y)) < 2:  # nothing to tell apart: the share of good labels
@@ -200,17 +246,28 @@ def held_out_column():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out=None, most: int = FIT_TEXTS) -> Model:
-    """Learn from the ``most`` labelled rows that are not held out with the smallest id hashes.
+def training_rows(docs: DataFrame, labels: DataFrame, held_out, most: int = FIT_TEXTS, most_bytes: int = FIT_BYTES) -> pd.DataFrame:
+    """(text, quality): whole texts of the labelled rows that are not held out with the smallest id hashes.
 
-    The ids are chosen before any text is read; up to ``FIT_CHARS`` characters of each are used.
+    ``most`` rows in all; they end before the first text that brings them over ``most_bytes``.
+    The rows are chosen by hashes and sizes before any text is fetched. Equal rows count once.
     """
-    held_out = held_out_column() if held_out is None else held_out
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").where(~held_out)
     chosen = usable.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    text = docs.select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text")).where("text is not null")
-    rows = text.join(F.broadcast(chosen), "doc_id").toPandas()  # ``most`` rows of ids and labels are broadcast
-    return fit(rows.sort_values(["doc_id", "text"])[["text", "quality"]])
+    text = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # ``most`` rows of ids and labels are broadcast
+    text = text.withColumn("deal", F.xxhash64("doc_id")).withColumn("mark", F.xxhash64("text"))
+    sizes = text.select("deal", "doc_id", "mark", F.octet_length("text").alias("size")).distinct()
+    sizes = sizes.orderBy("deal", "doc_id", "mark").limit(most).toPandas()
+    sizes = sizes[sizes["size"].cumsum() <= most_bytes]
+    wanted = docs.sparkSession.createDataFrame(sizes[["doc_id", "mark"]].astype("int64"), "doc_id long, mark long")
+    rows = text.join(F.broadcast(wanted), ["doc_id", "mark"]).groupBy("doc_id", "mark").agg(F.max("text").alias("text"), F.max("quality").alias("quality")).toPandas()
+    return rows.sort_values(["doc_id", "text"])[["text", "quality"]]
+
+
+def train(docs: DataFrame, labels: DataFrame, held_out=None, most: int = FIT_TEXTS) -> Model:
+    """Word vectors from all documents that are not held out; the network from ``training_rows``."""
+    held_out = held_out_column() if held_out is None else held_out
+    return fit(training_rows(docs, labels, held_out, most), *word_vectors(docs.where(~held_out)))
 
 
 def _score(box):

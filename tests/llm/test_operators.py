@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -202,6 +202,44 @@ def test_classifier(docs, empty, spark):
     assert quality_classifier.classify(empty, labels).count() == 0
 
 
+def test_classifier_fits_whole_texts(spark):
+    rows = [(i, ("good words stay here " * 20 if i % 2 else "bad <b> junk $$ ") + "mid " * 9000 + f"end{i // 4} tail{i // 4}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    held_out = quality_classifier.held_out_column()
+    free = [r["doc_id"] for r in df.where(~held_out).collect()]
+    whole = {rows[i][1] for i in free}
+    got = quality_classifier.training_rows(df, labels, held_out)
+    assert set(got["text"]) == whole and len(got) == len(free)
+    few = quality_classifier.training_rows(df, labels, held_out, most_bytes=100_000)
+    assert 0 < len(few) < len(got) and set(few["text"]) <= whole
+    model = quality_classifier.train(df, labels)
+    column = pa.array([rows[i][1] for i in free])
+    x = quality_classifier.features(model.keys, model.vectors, column)
+    assert np.allclose(model.center, x.mean(axis=0))  # centred on the features that texts are scored by
+
+
+def test_word_vectors_over_documents(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 60))) for _ in range(50)] + [None, ""]
+    keys, vectors = quality_classifier.word_vectors(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7))
+    hashes = {x: int(quality_classifier._tokens(pa.array([x]))[1].hash[0]) for x in "abcdefgh"}
+    place = {x: int(np.searchsorted(keys, np.uint64(h))) for x, h in hashes.items()}
+    places, signs = quality_classifier._index_places(keys)
+    index = np.zeros(vectors.shape)
+    np.add.at(index, (np.arange(len(keys))[:, None], places), signs)
+    want = np.zeros(vectors.shape)
+    for t in texts:
+        w = [place[x] for x in (t or "").split()]
+        for i, a in enumerate(w):
+            for gap in (1, 2):
+                if i + gap < len(w):
+                    want[a] += index[w[i + gap]]
+                    want[w[i + gap]] += np.roll(index[a], gap)
+    assert set(hashes.values()) <= set(keys.tolist())
+    assert np.allclose(vectors, want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9), atol=1e-6)
+
+
 def test_edit_distance():
     rng = np.random.default_rng(3)
     a = ["".join(rng.choice(list("abé"), rng.integers(0, 12))) for _ in range(600)]
