@@ -22,8 +22,8 @@ from . import storage
 from .textarrays import U64, WORD_BYTE, mix, slices, span_hash, span_strings, texts, words
 
 EDITS = 2
-#: Shorter lines are compared for equality only: two edits would link most of them.
-MIN_CHARS = 20
+#: Shorter lines, of no more characters than edits, are compared for equality only: any two of them would link.
+MIN_CHARS = EDITS + 1
 CROWD = 1024
 #: Up to so many candidate lines (8 bytes each) are broadcast to fetch their texts; more by a shuffle.
 BROADCAST_LINES = 1_000_000
@@ -353,7 +353,8 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     that links to it, stands earlier: in a smaller doc_id, or before it in the same document.
     Lines are judged on the input. ``removed`` lists their numbers from 0; ``n_links`` sums,
     over the document's lines, the distinct lines that link to each. Null and empty
-    texts have no line. Null ids come first. Other columns are not read.
+    texts have no line. Lines under ``min_chars`` characters (1 or 2 by default) link to none and go
+    by equality only. Null ids come first. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = storage.materialize(docs.mapInArrow(_occurrences, "doc_id long, line_no int, line long"), "lines")

@@ -260,6 +260,20 @@ def test_lines(spark, empty):
     assert [r["text"] for r in left[:4]] == [base, "", "", "short"]
 
 
+def test_short_lines_link(spark):
+    """Every pair of lines longer than the edits, by brute force, whether keys are crowded or not."""
+    rng = np.random.default_rng(5)
+    lines = {"".join(rng.choice(list("abé "), rng.integers(1, 14))) for _ in range(250)}
+    lines |= {"The anhely eran.", "The, anhely eran.", "Th the anhely eran.", "Than the anhely eran.", "Der eingeä erer.", "Der, eingeä erer."}
+    lines = sorted(x for x in lines if x.strip())
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    number = {r["line"]: r["doc_id"] for r in df.mapInArrow(line_dedup._occurrences, "doc_id long, line_no int, line long").collect()}
+    want = {(i, j) for i, x in enumerate(lines) for j, y in enumerate(lines[:i]) if min(len(x), len(y)) > 2 and line_dedup._plain(x, y) <= 2}
+    for crowd in (line_dedup.CROWD, 3):
+        got = {tuple(sorted((number[r["a"]], number[r["b"]]), reverse=True)) for r in line_dedup.line_links(df, crowd=crowd).collect()}
+        assert got == want and want
+
+
 def test_pipeline(spark, tmp_path, docs):
     spec = importlib.util.find_spec("corpus_pipeline")
     assert spec is not None
