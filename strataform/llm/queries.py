@@ -13,7 +13,7 @@ from .langid import identify
 from .line_dedup import line_dedup
 from .mixing import MIX_SQL, mix
 from .quality_classifier import classify
-from .quality_rules import quality_rules
+from .quality_rules import digests
 from .simhash import simhash_dedup
 from .substring_dedup import substring_dedup
 from .warc import MIN_PAYLOAD, archive_pages
@@ -37,7 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_source_mixing": lambda spark, d: mix(_documents(spark, d)).drop("copies"),
     "op6_warc_revisits": lambda spark, d: archive_pages(_pages(spark, d), storage.scratch_path(spark, "warc")),
     "op3_language_id": lambda spark, d: identify(_documents(spark, d)),
-    "op5_quality_rules": lambda spark, d: quality_rules(_documents(spark, d)),
+    "op5_quality_rules": lambda spark, d: digests(_documents(spark, d)),
     "op7_substring_dedup": lambda spark, d: substring_dedup(_documents(spark, d)),
     "op9_quality_classifier": lambda spark, d: classify(_documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op8_word_bpe": lambda spark, d: bpe.encode_documents(_documents(spark, d), WORD_BPE),

@@ -132,6 +132,23 @@ def test_quality_rules(docs, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [quality_rules.BROADCAST_LINES, -1])
+def test_frequent_lines_are_taken_out(docs, spark, monkeypatch, broadcast):
+    monkeypatch.setattr(quality_rules, "BROADCAST_LINES", broadcast)
+    odd = [(20, "Page 1\n\n kept é \nPAGE 2\n", "s"), (20, " page  7\nown 1\r\npage 9", "s"), (21, "own 2\n\n\n", "s"), (None, "page 3", None), (22, "page 4\nx", None), (23, None, None), (20, "Page 1\n\n kept é \nPAGE 2\n", "s")]
+    rows = [(r[0], r[1], r[3]) for r in ROWS] + odd
+    norm = lambda line: " ".join(re.sub("[0-9]", "0", x.lower()) for x in WORD.findall(line))
+    held = Counter((s, x) for _, t, s in rows for x in {norm(y) for y in (t or "").split("\n")} if x)
+    want = [(i, s, t and "\n".join(x for x in t.split("\n") if held[s, norm(x)] <= 1)) for i, t, s in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality_rules.cleaned(df, limit=1).collect()
+    key = lambda r: tuple((x is None, x or 0) if k == 0 else (x is None, x or "") for k, x in enumerate(r))
+    assert sorted(((r["doc_id"], r["source"], r["text"]) for r in got), key=key) == sorted(want, key=key)
+    assert all(r["n_words"] - r["n_line_words"] == len(WORD.findall(r["text"] or "")) for r in got)
+    whole = {tuple(r) for r in quality_rules.cleaned(df).drop("text").collect()}
+    assert {tuple(r)[:1] + tuple(r)[1:-1] for r in quality_rules.digests(df).collect()} == {r[:1] + r[2:] for r in whole}
+
+
 def test_line_limit_follows_host(spark):
     """The limit in use by default: a share of the host's documents, over a small floor."""
     sizes, rows = {"small": 8, "mid": 90, "large": 400, None: 90}, []
