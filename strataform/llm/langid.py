@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from .textarrays import LETTER_BYTE, Texts, mix, slices, span_strings, texts, words
 
 MAX_GRAM = 4
-#: Bounds of the fit: labelled texts in all, characters of each, and known words and n-grams.
+#: Bounds of the fit: labelled texts (whole ones) and bytes of them in all, and known words and n-grams.
 FIT_TEXTS = 4000
-FIT_CHARS = 20_000
+FIT_BYTES = 64 << 20
 KNOWN_WORDS = 50_000
 KNOWN_GRAMS = 100_000
 MIN_COUNT = 3
@@ -184,23 +184,46 @@ def predict(model: Model, column: pa.Array, has_letter: np.ndarray) -> tuple[lis
     return langs, np.where(has_letter, p[np.arange(len(p)), best], 0.0)
 
 
-def training_sample(docs: DataFrame, held_out, most: int = FIT_TEXTS) -> pd.DataFrame:
-    """A bounded sample of the labelled rows that are not held out: those with the smallest id hashes.
+def sample_quotas(counts: dict[str, int], most: int) -> dict[str, int]:
+    """How many rows each language gives: equal shares of ``most``, one at least; what a rare one leaves goes to the others."""
+    quotas, left = {}, most
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        quotas[lang] = min(n, max(1, left // (len(counts) - k)))
+        left -= quotas[lang]
+    return quotas
 
-    ``most`` rows in all, the first ``FIT_CHARS`` characters of each.
-    """
-    usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out)
-    dealt = usable.select(F.substring("text", 1, FIT_CHARS).alias("text"), "lang", F.xxhash64("doc_id").alias("deal"), "doc_id").where("deal is not null")
-    rows = dealt.orderBy("deal", "doc_id", "text").limit(most).toPandas()
-    return rows[["text", "lang"]]
 
+def training_sample(docs: DataFrame, held_out, most: int = FIT_TEXTS, most_bytes: int = FIT_BYTES) -> pd.DataFrame:
+    """(text, lang): of each language, the labelled rows that are not held out with the smallest hashes of id and text.
 
-def sample_rate_filter(docs: DataFrame, held_out, most: int) -> DataFrame:
-    """Drop most rows by id hash before texts are read for the sample, leaving about four times ``most``."""
-    total = docs.where(F.col("lang").isNotNull() & ~held_out).count()
-    if total <= 4 * most:
-        return docs
-    return docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * 4 * most / total)))
+    ``most`` rows in all (one a language at least), whole texts; those that would bring them over
+    ``most_bytes`` are passed over. Equal rows count once. The rule is the same at every size: the bound on hashes by which most
+    rows are dropped early is raised until each language has its number.
+    """
+    usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out).select("text", "lang", F.xxhash64("doc_id", "text").alias("mark"))
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    quotas = sample_quotas(counts, most)
+    wide = {lang: (q + 10 * q**0.5 + 50) / counts[lang] for lang, q in quotas.items()}
+    while True:
+        bounds = [(lang, min((1 << 63) - 1, int(rate * 2**64) - (1 << 63))) for lang, rate in wide.items()]
+        near = usable.join(F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang").where("mark <= bound")
+        found = near.groupBy("lang", "mark").agg(F.max(F.octet_length("text")).alias("size")).toPandas()
+        have = found["lang"].value_counts()
+        short = [lang for lang, q in quotas.items() if wide[lang] < 1 and have.get(lang, 0) < q]
+        if not short:
+            break
+        wide |= {lang: 4 * wide[lang] for lang in short}
+    found = found.sort_values(["lang", "mark"])
+    found["rank"] = found.groupby("lang").cumcount()
+    found = found[found["rank"] < found["lang"].map(quotas)].sort_values(["rank", "mark"])
+    chosen, total = [], 0
+    for lang, mark, size in zip(found["lang"], found["mark"], found["size"], strict=True):
+        if total + size <= most_bytes:
+            chosen.append((lang, int(mark)))
+            total += size
+    wanted = docs.sparkSession.createDataFrame(chosen, "lang string, mark long")
+    rows = usable.join(F.broadcast(wanted), ["lang", "mark"]).groupBy("lang", "mark").agg(F.max("text").alias("text")).toPandas()
+    return rows.sort_values(["lang", "mark"])[["text", "lang"]]
 
 
 def held_out_column():
@@ -210,7 +233,7 @@ def held_out_column():
 
 def train(docs: DataFrame, held_out=None, most: int = FIT_TEXTS) -> Model:
     held_out = held_out_column() if held_out is None else held_out
-    return fit(training_sample(sample_rate_filter(docs, held_out, most), held_out, most))
+    return fit(training_sample(docs, held_out, most))
 
 
 def _score(model_box):

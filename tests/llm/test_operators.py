@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from strataform.llm import bpe, exact_dedup, langid, line_dedup, mixing, quality_classifier, quality_rules, simhash, substring_dedup, warc
 
@@ -212,6 +213,23 @@ def test_language(docs, empty):
     assert langid.identify(empty).count() == 0
 
 
+@pytest.mark.parametrize("n", [60, 3000])
+def test_language_sample(spark, n):
+    """One rule at every size: whole texts, each language by its own ranks, rows of one id apart."""
+    rows = [(None if i % 3 == 0 else i, f"text {i} " + "long words " * (4000 if i % 50 == 0 else 1), "rare" if i in (1, 5, 8, 11, 22, 55) else "ab"[i % 2]) for i in range(n)]
+    df = spark.createDataFrame(rows + rows[3:4] * 500, "doc_id long, text string, lang string")
+    held_out = langid.held_out_column()
+    marks = df.where(~held_out).select("text", "lang", F.xxhash64("doc_id", "text").alias("mark")).distinct().orderBy("mark").collect()
+    count = Counter(r["lang"] for r in df.where(~held_out).collect())
+    quotas = langid.sample_quotas(dict(count), 24)
+    want = {(r["text"], r["lang"]) for lang, q in quotas.items() for r in [m for m in marks if m["lang"] == lang][:q]}
+    got = langid.training_sample(df, held_out, 24)
+    assert set(zip(got["text"], got["lang"])) == want and len(got) == len(want) == 24
+    assert (got["lang"] == "rare").sum() == count["rare"] > 0
+    less = langid.training_sample(df, held_out, 24, most_bytes=1000)
+    assert less["text"].str.len().sum() <= 1000 and set(less["text"]) <= {t for t, _ in want}
+
+
 def test_classifier(docs, empty, spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 9)], "doc_id long, quality int, toxic int")
     got = quality_classifier.classify(docs, labels).collect()
