@@ -249,7 +249,7 @@ def held_out_column():
 def training_rows(docs: DataFrame, labels: DataFrame, held_out, most: int = FIT_TEXTS, most_bytes: int = FIT_BYTES) -> pd.DataFrame:
     """(text, quality): whole texts of the labelled rows that are not held out with the smallest id hashes.
 
-    ``most`` rows in all; they end before the first text that brings them over ``most_bytes``.
+    ``most`` rows in all; texts that would bring them over ``most_bytes`` are passed over.
     The rows are chosen by hashes and sizes before any text is fetched. Equal rows count once.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").where(~held_out)
@@ -258,8 +258,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out, most: int = FIT_
     text = text.withColumn("deal", F.xxhash64("doc_id")).withColumn("mark", F.xxhash64("text"))
     sizes = text.select("deal", "doc_id", "mark", F.octet_length("text").alias("size")).distinct()
     sizes = sizes.orderBy("deal", "doc_id", "mark").limit(most).toPandas()
-    sizes = sizes[sizes["size"].cumsum() <= most_bytes]
-    wanted = docs.sparkSession.createDataFrame(sizes[["doc_id", "mark"]].astype("int64"), "doc_id long, mark long")
+    fits, total = [], 0
+    for doc_id, mark, size in zip(sizes["doc_id"], sizes["mark"], sizes["size"], strict=True):
+        if total + size <= most_bytes:
+            fits.append((int(doc_id), int(mark)))
+            total += size
+    wanted = docs.sparkSession.createDataFrame(fits, "doc_id long, mark long")
     rows = text.join(F.broadcast(wanted), ["doc_id", "mark"]).groupBy("doc_id", "mark").agg(F.max("text").alias("text"), F.max("quality").alias("quality")).toPandas()
     return rows.sort_values(["doc_id", "text"])[["text", "quality"]]
 

@@ -248,6 +248,8 @@ def test_classifier_fits_whole_texts(spark):
     assert set(got["text"]) == whole and len(got) == len(free)
     few = quality_classifier.training_rows(df, labels, held_out, most_bytes=100_000)
     assert 0 < len(few) < len(got) and set(few["text"]) <= whole
+    huge = df.withColumn("text", F.when(F.xxhash64("doc_id") == df.where(~held_out).agg(F.min(F.xxhash64("doc_id"))).first()[0], F.repeat("text", 4)).otherwise(F.col("text")))
+    assert len(quality_classifier.training_rows(huge, labels, held_out, most_bytes=100_000)) == len(few)  # a text too large alone ends nothing
     model = quality_classifier.train(df, labels)
     column = pa.array([rows[i][1] for i in free])
     x = quality_classifier.features(model.keys, model.vectors, column)
