@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .textarrays import Texts, slices, span_hash, texts
+from . import storage
+from .textarrays import Texts, ordered_strings, slices, texts
 
 _NO_RANK = np.int64(1 << 40)
 # The contractions that the vocabulary's splitter keeps whole, after an apostrophe.
@@ -38,14 +38,40 @@ def byte_symbols() -> list[str]:
     return out
 
 
+# White space as Unicode defines it (property White_Space).
+SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+# Letters and numbers that Unicode 16.0 adds to the 15.1 of Python's tables; the splitter knows 16.0.
+LETTERS_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389),
+    (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NUMBERS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+# Lower case of letters added after Unicode 15.1; the normaliser knows 17.0.
+LOWER_17 = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER_17 |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+# Marks with a combining class that came after Unicode 9.0, and the second half of a later composite (U+11938).
+# NFC as the tokenizer does it knows 9.0: there they neither move nor join.
+MARKS_LATER = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA),
+    (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B),
+    (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47),
+    (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136),
+    (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
+_MARK_LATER = regex.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in MARKS_LATER) + "])")
+_LOWER_LATER = regex.compile("[" + "".join(map(chr, LOWER_17)) + "]")
+
+
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
     """Class of each code point: 0 space, 1 letter, 2 number, 3 other."""
-    out = np.full(sys.maxunicode + 1, 3, np.uint8)
-    every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "\ufffe" for c in range(sys.maxunicode + 1))
-    for kind, pattern in ((1, r"\p{L}"), (2, r"\p{N}"), (0, r"\s")):
-        for m in regex.finditer(pattern + "+", every):
-            out[m.start() : m.end()] = kind
+    major = {"L": 1, "N": 2}
+    out = np.fromiter((major.get(unicodedata.category(chr(c))[0], 3) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    out[list(SPACES)] = 0
+    for kind, ranges in ((1, LETTERS_16), (2, NUMBERS_16)):
+        for first, last in ranges:
+            out[first : last + 1] = kind
     return out
 
 
@@ -168,16 +194,9 @@ class Vocabulary:
         start, end = split(t)
         if not len(start):
             return np.zeros(0, np.int64), np.zeros(len(parts) + 1, np.int64)
-        h = np.empty(len(start), np.uint64)
-        step = 1 << 19
-        lo = 0
-        while lo < len(start):  # hash spans in stretches of about ``step`` bytes
-            hi = max(lo + 1, int(np.searchsorted(end, start[lo] + step, "right")))
-            base = start[lo]
-            h[lo:hi] = span_hash(t.data[base : end[hi - 1]], start[lo:hi] - base, end[lo:hi] - base)
-            lo = hi
-        _, one, inverse = np.unique(h, return_index=True, return_inverse=True)
-        ids, first = self.pieces(t, start[one], end[one])
+        named = ordered_strings(t, start, end).dictionary_encode()  # equal bytes, one entry
+        inverse, each = named.indices.to_numpy(), texts(named.dictionary)
+        ids, first = self.pieces(each, each.offsets[:-1], each.offsets[1:])
         size = np.diff(first)[inverse]
         total = np.concatenate([[0], np.cumsum(size)])
         flat = ids[np.arange(total[-1]) + np.repeat(first[:-1][inverse] - total[:-1], size)]
@@ -196,15 +215,15 @@ class Vocabulary:
 
 
 def normalize(text: str) -> str:
-    """NFC, then white space runs to one space, then lower case (character by character)."""
+    """NFC, then lower case character by character; white space is left to ``split``."""
     if text.isascii():
         return text.lower()
     if not unicodedata.is_normalized("NFC", text):
-        text = unicodedata.normalize("NFC", text)
-    low = text.lower()
-    if "Σ" in text:  # a final sigma depends on its neighbours; each character is lowered alone here
-        low = "".join(c.lower() for c in text)
-    return low
+        text = "".join(unicodedata.normalize("NFC", x) for x in _MARK_LATER.split(text))
+    if _LOWER_LATER.search(text):
+        text = text.translate(LOWER_17)
+    # a final sigma depends on its neighbours; each character is lowered alone here
+    return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
 
 def split(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -272,6 +291,6 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     Special tokens in a text get their ids. Repeated rows and null ids stay as they are; other
     columns are not read. Every text is encoded on its own, so a lost task is simply run again.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = storage.texts_of(docs, ("doc_id", "long"), ("text", "string"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.mapInArrow(_run(path, with_ids), schema)

@@ -13,11 +13,12 @@ back travel once per task too.
 from __future__ import annotations
 
 import hashlib
-import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,69 +26,82 @@ from . import storage
 from .textarrays import texts
 
 BLOCK_BYTES = 4096
-FLUSH_BYTES = 48 << 20
+#: A chunk's distinct blocks and documents, in bytes, before it is sent on.
+FLUSH_BYTES = 8 << 20
 
-_ITEM = "bucket int, kind int, chunk long, seq int, key binary, name long, doc_id long, sha binary, refs array<int>"
-_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("seq", pa.int32()), ("key", pa.binary()), ("name", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.binary()), ("refs", pa.list_(pa.int32()))])
-_NAMED = "doc_id long, sha binary, name long, names array<long>"
-_NAMED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("sha", pa.binary()), ("name", pa.int64()), ("names", pa.list_(pa.int64()))])
+_ITEM = [("bucket", "int"), ("kind", "int"), ("chunk", "long"), ("seq", "int"), ("key", "binary"), ("name", "long"), ("sha", "binary"), ("refs", "array<int>")]
+_NAMED = [("sha", "binary"), ("name", "long"), ("names", "array<long>")]
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+
+
+def _columns(own: list[tuple[str, str]], carry: tuple[str, ...]) -> list[tuple[str, str]]:
+    return own + [(c, "long") for c in carry]
+
+
+def _ddl(own: list[tuple[str, str]], carry: tuple[str, ...]) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in _columns(own, carry))
+
+
+def _schema(own: list[tuple[str, str]], carry: tuple[str, ...]) -> pa.Schema:
+    return pa.schema([(name, _ARROW[kind]) for name, kind in _columns(own, carry)])
 
 
 class _Chunk:
     """The distinct keys and the documents that one task has seen since its last flush."""
 
-    def __init__(self, buckets: int):
+    def __init__(self, buckets: int, carry: tuple[str, ...]):
         from pyspark import TaskContext
 
-        self.buckets, self.id = buckets, TaskContext.get().partitionId() << 24
+        self.buckets, self.schema, self.id = buckets, _schema(_ITEM, carry), TaskContext.get().partitionId() << 24
         self.clear()
 
     def clear(self) -> None:
         self.keys: dict[bytes, int] = {}
         self.docs: list[tuple] = []
+        self.refs: list[list[int]] = []
         self.size = 0
 
-    def add(self, doc_id, sha, name, keys: list[bytes]) -> None:
+    def add(self, sha: bytes, carried: tuple, keys: list[bytes]) -> None:
         refs = []
         for k in keys:
             if (at := self.keys.get(k)) is None:
                 at = self.keys[k] = len(self.keys)
                 self.size += len(k) + 100
             refs.append(at)
-        self.size += 100 + 8 * len(refs)
-        self.docs.append((doc_id, sha, name, refs))
+        self.size += 200 + 8 * len(refs)
+        self.docs.append((sha, *carried))
+        self.refs.append(refs)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
+        """The chunk's keys in order and numbered, then its documents with the numbers of their keys."""
         if self.docs:
             order = sorted(self.keys)
             rank = {self.keys[k]: i for i, k in enumerate(order)}
-            n, m, none = len(order), len(self.docs), [None]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([zlib.crc32(k) % self.buckets for k in order] + [i % self.buckets for i in range(m)], pa.int32()),
-                    pa.array([0] * n + [1] * m, pa.int32()),
-                    pa.array([self.id] * (n + m), pa.int64()),
-                    pa.array([*range(n)] + [0] * m, pa.int32()),
-                    pa.array(order + none * m, pa.binary()),
-                    pa.array(none * n + [d[2] for d in self.docs], pa.int64()),
-                    pa.array(none * n + [d[0] for d in self.docs], pa.int64()),
-                    pa.array(none * n + [d[1] for d in self.docs], pa.binary()),
-                    pa.array(none * n + [[rank[r] for r in d[3]] for d in self.docs], pa.list_(pa.int32())),
-                ],
-                schema=_SCHEMA,
-            )
+            n, m = len(order), len(self.docs)
+            columns = {
+                "bucket": [zlib.crc32(k) % self.buckets for k in order] + [i % self.buckets for i in range(m)],
+                "kind": [0] * n + [1] * m,
+                "chunk": [self.id] * (n + m),
+                "seq": [*range(n)] + [0] * m,
+                "key": order + [None] * m,
+                "name": [None] * (n + m),
+                "refs": [None] * n + [[rank[r] for r in refs] for refs in self.refs],
+            }
+            for name, values in zip(("sha", *self.schema.names[len(_ITEM) :]), zip(*self.docs, strict=True), strict=True):
+                columns[name] = [None] * n + list(values)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in self.schema], schema=self.schema)
             self.id += 1
         self.clear()
 
 
-def _cut(buckets: int, block: int):
+def _cut(buckets: int, block: int, carry: tuple[str, ...]):
     def run(batches):
-        chunk = _Chunk(buckets)
+        chunk = _Chunk(buckets, carry)
         for batch in batches:
-            t, ids = texts(batch.column("text")), batch.column("doc_id").to_pylist()
-            for i, doc_id in enumerate(ids):
+            t, carried = texts(batch.column("text")), zip(*(batch.column(c).to_pylist() for c in carry), strict=True)
+            for i, own in enumerate(carried):
                 raw = t.bytes_of(i)
-                chunk.add(doc_id, hashlib.sha256(raw).digest(), None, [raw[k : k + block] for k in range(0, len(raw), block)] or [b""])
+                chunk.add(hashlib.sha256(raw).digest(), own, [raw[k : k + block] for k in range(0, len(raw), block)] or [b""])
                 if chunk.size > FLUSH_BYTES:
                     yield from chunk.flush()
         yield from chunk.flush()
@@ -95,14 +109,16 @@ def _cut(buckets: int, block: int):
     return run
 
 
-def _pairs(buckets: int):
+def _pairs(buckets: int, carry: tuple[str, ...]):
     def run(batches):
-        chunk = _Chunk(buckets)
+        chunk = _Chunk(buckets, carry)
         for batch in batches:
-            for r in batch.to_pylist():
-                names = r["names"] or []
-                keys = [struct.pack(">qq", names[k], names[k + 1] if k + 1 < len(names) else -1) for k in range(0, len(names), 2)]
-                chunk.add(r["doc_id"], r["sha"], r["name"], keys)
+            carried = zip(*(batch.column(c).to_pylist() for c in carry), strict=True)
+            for sha, row, own in zip(batch.column("sha").to_pylist(), batch.column("names"), carried, strict=True):
+                names = row.values.to_numpy()
+                names = np.append(names, -1) if len(names) % 2 else names
+                raw = names.astype(">i8").tobytes()
+                chunk.add(sha, own, [raw[k : k + 16] for k in range(0, len(raw), 16)])
                 if chunk.size > FLUSH_BYTES:
                     yield from chunk.flush()
         yield from chunk.flush()
@@ -112,67 +128,88 @@ def _pairs(buckets: int):
 
 def _number(batches):
     """Sorted by (bucket, kind, key): equal keys get one number, unique over all buckets."""
-    bucket = last = None
-    rank = -1
+    bucket, last, rank = None, None, -1
     for batch in batches:
-        kinds, buckets, keys = (batch.column(c).to_pylist() for c in ("kind", "bucket", "key"))
-        names = batch.column("name").to_pylist()
-        for i, kind in enumerate(kinds):
-            if kind == 0:
-                if buckets[i] != bucket:
-                    bucket, last, rank = buckets[i], None, -1
-                if keys[i] != last:
-                    last, rank = keys[i], rank + 1
-                names[i] = (bucket << 32) | rank
-        arrays = [batch.column(c) for c in _SCHEMA.names]
-        arrays[4], arrays[5] = pa.nulls(len(kinds), pa.binary()), pa.array(names, pa.int64())
-        yield pa.RecordBatch.from_arrays(arrays, schema=_SCHEMA)
-
-
-def _collect(level: int):
+        n = batch.num_rows
+        if not n:
+            continue
+        at, own, key = batch.column("bucket").to_numpy(), batch.column("kind").to_numpy() == 0, batch.column("key")
+        fresh, head = np.ones(n, bool), np.ones(n, bool)
+        head[1:] = at[1:] != at[:-1]
+        fresh[1:] = head[1:] | ~pc.fill_null(pc.equal(key.slice(1), key.slice(0, n - 1)), False).to_numpy(zero_copy_only=False)
+        fresh[0] = at[0] != bucket or key[0].as_py() != last
+        fresh &= own
+        starts, count = np.flatnonzero(head), np.cumsum(fresh)
+        sizes = np.diff(starts, append=n)
+        ranks = count - 1 - np.repeat((count - fresh)[starts], sizes)
+        if at[0] == bucket:
+            ranks[: sizes[0]] += rank + 1
+        mine = np.flatnonzero(own[starts[-1] :])
+        if len(mine):
+            end = int(starts[-1] + mine[-1])
+            last, rank = key[end].as_py(), int(ranks[end])
+        elif at[-1] != bucket:
+            last, rank = None, -1
+        bucket = at[-1]
+        columns = {name: batch.column(name) for name in batch.schema.names}
+        columns["name"] = pa.array((at.astype(np.int64) << 32) | ranks, pa.int64(), mask=~own)
+        columns["key"] = pa.nulls(n, pa.binary())
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _collect(level: int, carry: tuple[str, ...]):
     """Sorted by (chunk, kind, seq): put the names back in the documents' places."""
 
     def run(batches):
-        chunk, names = None, []
+        current, table = None, [np.zeros(0, np.int64)]
         for batch in batches:
-            chunks, kinds, given, refs = (batch.column(c).to_pylist() for c in ("chunk", "kind", "name", "refs"))
-            at, name, left = [], [], []
-            for i, kind in enumerate(kinds):
-                if chunks[i] != chunk:
-                    chunk, names = chunks[i], []
-                if kind == 0:
-                    names.append(given[i])
+            chunks = batch.column("chunk").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(chunks)) + 1, [len(chunks)]])
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
                     continue
-                own = [names[r] for r in refs[i]]
-                at.append(i)
-                name.append(given[i] if not own else own[0] << 6 | level if len(own) == 1 else None)
-                left.append(own if len(own) > 1 else [])
-            rows = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("sha"), pa.array(name, pa.int64()), pa.array(left, pa.list_(pa.int64()))], schema=_NAMED_SCHEMA)
+                if chunks[lo] != current:
+                    current, table = chunks[lo], []
+                part = batch.slice(lo, hi - lo)
+                keys = int(np.searchsorted(part.column("kind").to_numpy(), 1))
+                table.append(part.column("name").slice(0, keys).to_numpy())
+                docs = part.slice(keys)
+                if not docs.num_rows:
+                    continue
+                table = [np.concatenate(table)]
+                refs = docs.column("refs")
+                got, size = table[0][refs.flatten().to_numpy()], np.diff(refs.offsets.to_numpy())
+                whole = size == 1
+                name = np.zeros(len(size), np.int64)
+                name[whole] = got[np.repeat(whole, size)] << 6 | level
+                left = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(whole, 0, size))]), pa.int32()), pa.array(got[np.repeat(~whole, size)]))
+                yield pa.RecordBatch.from_arrays([docs.column("sha"), pa.array(name, mask=~whole), left, *(docs.column(c) for c in carry)], ["sha", "name", "names", *carry])
 
     return run
 
 
-def _name(items: DataFrame, level: int, n: int) -> DataFrame:
-    named = items.repartition(n, "bucket").sortWithinPartitions("bucket", "kind", "key").mapInArrow(_number, _ITEM)
-    back = named.drop("key").withColumn("key", F.lit(None).cast("binary")).repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "seq")
-    return back.mapInArrow(_collect(level), _NAMED)
+def _name(items: DataFrame, level: int, n: int, carry: tuple[str, ...]) -> DataFrame:
+    """One round: number the distinct keys, and give each document the names of its own."""
+    named = items.repartition(n, "bucket").sortWithinPartitions("bucket", "kind", "key").mapInArrow(_number, _ddl(_ITEM, carry))
+    back = named.drop("key", "bucket").repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "seq")
+    return storage.materialize(back.mapInArrow(_collect(level, carry), _ddl(_NAMED, carry)), "names")
 
 
-def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, sha, name): one row per row of ``docs``; ``name`` is equal just where the texts are.
+def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(sha, name, *carry): one row per row of ``docs``; ``name`` is equal just where the texts are.
 
-    Null text counts as empty. The number of rounds follows the longest text.
+    Null text counts as empty. Texts of one block have their name after the first round and leave; the
+    number of rounds follows the longest text. Each round ends in a table in the shared folder.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    longest = docs.agg(F.max(F.octet_length("text"))).first()[0] or 0
+    docs = storage.texts_of(docs, *((c, "long") for c in carry), ("text", "string"))
     n = storage.parts(docs, 8 << 20)
-    out = _name(docs.mapInArrow(_cut(n, block_bytes), _ITEM), 0, n)
-    blocks, level = -(-longest // block_bytes), 0
-    while blocks > 1:
-        blocks, level = -(-blocks // 2), level + 1
-        out = _name(out.mapInArrow(_pairs(n), _ITEM), level, n)
-    return out.select("doc_id", "sha", "name")
+    now = _name(docs.mapInArrow(_cut(n, block_bytes, carry), _ddl(_ITEM, carry)), 0, n, carry)
+    out, level = now.where("name is not null"), 0
+    while not (rest := now.where("name is null")).isEmpty():
+        level, n = level + 1, storage.parts(now, 8 << 20)
+        now = _name(rest.mapInArrow(_pairs(n, carry), _ddl(_ITEM, carry)), level, n, carry)
+        out = out.unionByName(now.where("name is not null"))
+    return out.drop("names")
 
 
 def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -183,8 +220,19 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     with the same text are rows of the group and share its verdict. An empty table gives
     an empty result; further columns are not read.
     """
-    ids = storage.materialize(identities(docs, block_bytes), "identities")
+    ids = identities(docs, block_bytes)
     groups = ids.groupBy("name").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     return storage.skew_join(ids, groups, "name").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
+
+
+def distinct_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that ``exact_dedup`` keeps: one row of each text.
+
+    Of rows that share text and id (a null id included) one stays, whichever stands last in the files.
+    """
+    rows, places = storage.placed(docs)
+    ids = identities(rows, block_bytes, ("doc_id", *places))
+    stay = ids.groupBy("name").agg(F.max(F.struct("doc_id", *places)).alias("row")).select("row.*")
+    return storage.pick(rows, stay, places)

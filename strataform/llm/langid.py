@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
 from .textarrays import LETTER_BYTE, Texts, mix, slices, span_strings, texts, words
 
 MAX_GRAM = 4
@@ -248,6 +249,30 @@ def _score(model_box):
     return run
 
 
+def _accept(model_box, width: int, least: float):
+    def run(batches):
+        model = model_box.value
+        for batch in batches:
+            names = batch.schema.names
+            plain = pa.RecordBatch.from_arrays(batch.columns, [f"c{k}" for k in range(len(names))])
+            for part in slices(plain, f"c{width}"):
+                langs, score = predict(model, part.column(width), part.column(width + 1).to_numpy(zero_copy_only=False))
+                good = pa.array((score >= least) & (np.array(langs, object) != UNDETERMINED))
+                yield pa.RecordBatch.from_arrays([c.filter(good) for c in part.columns[:width]], names[:width])
+
+    return run
+
+
+def _has_letter():
+    return F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
+
+
+def _model_box(docs: DataFrame, model: Model | None):
+    if model is None:
+        model = train(storage.texts_of(docs, ("doc_id", "long"), ("text", "string"), ("lang", "string")))
+    return docs.sparkSession.sparkContext.broadcast(model)
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), one row per row of ``docs``.
 
@@ -257,10 +282,22 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     are not read. The model is broadcast: it holds KNOWN_WORDS words and KNOWN_GRAMS
     n-grams of each length at most, whatever the input.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    box = docs.sparkSession.sparkContext.broadcast(model or train(docs))
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select("doc_id", "text", held_out_column().alias("held_out"), letters.alias("has_letter")).mapInArrow(_score(box), "doc_id long, held_out boolean, lang_pred string, score double")
+    box = _model_box(docs, model)
+    rows = storage.texts_of(docs, ("doc_id", "long"), ("text", "string"))
+    return rows.select("doc_id", "text", held_out_column().alias("held_out"), _has_letter().alias("has_letter")).mapInArrow(_score(box), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, least: float, model: Model | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose language has a score of ``least`` or more.
+
+    Scores are those of ``identify``, row by row: null texts and those without a letter go,
+    rows that repeat an id or have none are judged on their own. Nothing is shuffled.
+    """
+    storage.bound_batches(docs.sparkSession)
+    box = _model_box(docs, model)
+    text, letter = storage.fresh(docs, "text_"), storage.fresh(docs, "has_letter")
+    rows = docs.select("*", F.col("text").cast("string").alias(text), _has_letter().alias(letter))
+    return rows.mapInArrow(_accept(box, len(docs.columns), least), docs.schema)
 
 
-__all__ = ["Model", "fit", "identify", "predict", "train"]
+__all__ = ["Model", "accepted", "fit", "identify", "predict", "train"]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
-from .textarrays import U64, WORD_BYTE, mix, slices, span_hash, span_strings, texts, words
+from .textarrays import U64, WORD_BYTE, mix, place_hash, slices, span_strings, texts, words
 
 EDITS = 2
 #: Shorter lines, of no more characters than edits, are compared for equality only: any two of them would link.
@@ -92,7 +92,7 @@ def line_keys(points: np.ndarray, first: np.ndarray, edits: int = EDITS) -> tupl
                 ok = (place >= 0) & (place + n <= length) & (other > edits)
                 add(place[ok], n[ok], every[ok], other[ok], i, 1)
     begin, size, owner = np.concatenate(begin), np.concatenate(size), np.concatenate(owner)
-    key = mix(span_hash(points, begin, begin + size) ^ mix(np.concatenate(salt)))
+    key = mix(place_hash(points, begin, begin + size) ^ mix(np.concatenate(salt)))
     return (key & ~U64(1)) | np.concatenate(probe), owner
 
 

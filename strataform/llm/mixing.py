@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import storage
 from .storage import join_null_safe
 
 MAX_REPEAT = 3
@@ -55,14 +56,10 @@ def _cells(docs: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken), one row per row of ``docs``.
-
-    Null text has size 0. A null source is a source of its own, after all others. Rows that
-    repeat an id are documents of their own; ties stand side by side, so that either order
-    gives the same rows. If all sizes are 0, nothing is taken. Other columns are not read.
-    """
-    cells = _cells(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))).drop("text")
+def _copies(docs: DataFrame, places: list[str], max_repeat: int, seed: str) -> DataFrame:
+    """``mix`` with the columns ``places`` of ``docs``, which tell rows apart that are alike otherwise."""
+    read = [F.col(c).cast(kind).alias(c) for c, kind in (("doc_id", "long"), ("source", "string"), ("text", "string"))]
+    cells = _cells(docs.select(*read, *places)).drop("text")
     keys = ["source", "size_class", "part"]
     counts = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     targets = source_targets(counts, max_repeat)
@@ -71,25 +68,40 @@ def mix(docs: DataFrame, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> Data
     classes = classes.select("source", "size_class", before.alias("class_start"))
     inner = F.coalesce(F.sum("n").over(Window.partitionBy("source", "size_class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(*keys, inner.alias("cell_start"))
-    ranked = cells.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("size", "doc_id")))
+    ranked = cells.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("size", "doc_id", *places)))
 
     starts = join_null_safe(join_null_safe(starts, classes, ["source", "size_class"]), targets, ["source"])
     starts = starts.select(*keys, (F.col("class_start") + F.col("cell_start")).alias("start"), "source_size", "target")
-    placed = join_null_safe(ranked, starts, keys)
+    dealt = join_null_safe(ranked, starts, keys)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("source")).cast("binary")), 1, 4), 16, 10).cast("double") / 65536
     rank = (F.col("start") + F.col("rank")).cast("double")
     copies = (F.floor(offset + rank * ratio) - F.floor(offset + (rank - 1) * ratio)).cast("long")
-    return placed.withColumn("copies", F.least(copies, F.lit(max_repeat).cast("long"))).select(
-        "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+    return dealt.withColumn("copies", F.least(copies, F.lit(max_repeat).cast("long"))).select(
+        "doc_id", *places, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
+def mix(docs: DataFrame, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
+    """(doc_id, size, source_size, target, copies, taken), one row per row of ``docs``.
+
+    Null text has size 0. A null source is a source of its own, after all others. Rows that
+    repeat an id are documents of their own; ties stand side by side, so that either order
+    gives the same rows. If all sizes are 0, nothing is taken. Other columns are not read.
+    """
+    return _copies(docs, [], max_repeat, seed)
+
+
 def mixed_documents(docs: DataFrame, max_repeat: int = MAX_REPEAT, seed: str = SEED) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as it is taken."""
-    copies = mix(docs, max_repeat, seed).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__doc_id")
-    joined = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__doc_id", "__copies", "__copy")
+    """The documents of the mix with all their columns as they are, each row as often as it is taken.
+
+    Copies go by row: rows that repeat an id, or have none, are taken as often as ``mix`` says of each.
+    """
+    rows, places = storage.placed(docs)
+    nth, copies = storage.fresh(docs, "nth_copy"), storage.fresh(docs, "copies_")
+    taken = _copies(rows, places, max_repeat, seed).where("copies > 0").select(*places, F.col("copies").alias(copies))
+    joined = rows.join(taken, places)
+    return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: DuckDB SQL for ``mix`` without ``copies``, over a table ``documents``.

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, storage
@@ -20,7 +20,7 @@ from .warc import MIN_PAYLOAD, archive_pages
 
 
 #: The public vocabulary file that op8 and the pipeline use; it is read where it lies.
-WORD_BPE = os.environ.get("STRATAFORM_WORD_BPE", "/opt/tokenizers/word_bpe_49k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

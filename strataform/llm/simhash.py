@@ -125,8 +125,10 @@ def fingerprints_of(column: pa.Array) -> np.ndarray:
 
 def _fingerprint(batches):
     for batch in batches:
+        rest = [k for k, name in enumerate(batch.schema.names) if name != "text"]
         for part in slices(batch, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints_of(part.column("text")).view(np.int64))], ["doc_id", "fp"])
+            fp = pa.array(fingerprints_of(part.column("text")).view(np.int64))
+            yield pa.RecordBatch.from_arrays([fp, *(part.column(k) for k in rest)], ["fp", *(part.schema.names[k] for k in rest)])
 
 
 # --- the covering code -------------------------------------------------------------------
@@ -284,10 +286,10 @@ def _compare(batches):
         yield out(rest_a, rest_f)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every text as a signed long; null text has no word."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_fingerprint, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(fp, *carry): the fingerprint of every text as a signed long; null text has no word."""
+    rows = storage.texts_of(docs, *((c, "long") for c in carry), ("text", "string"))
+    return rows.mapInArrow(_fingerprint, ", ".join(["fp long", *(f"`{c}` long" for c in carry)]))
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
@@ -297,6 +299,13 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return copies.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "u long, v long")
 
 
+def _reach(classes: DataFrame) -> DataFrame:
+    """(fp, first): for each distinct fingerprint, the least ``first`` of all that it reaches over links."""
+    roots = storage.materialize(components(fingerprint_links(classes)).select(F.col("node").alias("fp"), "root"), "roots")
+    linked = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return storage.skew_join(linked.select("fp", "root"), linked.groupBy("root").agg(F.min("first").alias("first")), "root").select("fp", "root", "first")
+
+
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per row of ``docs``.
 
@@ -305,9 +314,20 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     component_id, null if it has no other id. Repeated rows stay. Other columns are not read.
     """
     prints = storage.materialize(fingerprints(docs), "fingerprints")
-    classes = storage.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = storage.materialize(components(fingerprint_links(classes)).select(F.col("node").alias("fp"), "root"), "roots")
-    linked = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    reach = storage.skew_join(linked, least, "root").select("fp", "component_id")
+    classes = storage.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    reach = _reach(classes).select("fp", F.col("first").alias("component_id"))
     return storage.skew_join(prints, reach, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns as they are: of each component of links, one row.
+
+    It is the one with the smallest doc_id, null only if there is no other; of rows that share that id, the first in
+    the files. Texts without a word are one component with all others of fingerprint zero.
+    """
+    rows, places = storage.placed(docs)
+    prints = storage.materialize(fingerprints(rows, ("doc_id", *places)), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *places)
+    classes = storage.materialize(prints.groupBy("fp").agg(F.min(first).alias("first")), "classes")
+    stay = _reach(classes).where("fp = root").select("first.*")
+    return storage.pick(rows, stay, places)

@@ -13,8 +13,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 PIECE = 1 << 19
+#: Spans above this many bytes are hashed one by one.
+LONG_SPAN = 1024
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WINDOW_BASE = 0xC2B2AE3D27D4EB4F
 U64 = np.uint64
@@ -131,11 +134,50 @@ def _pieces(t: Texts, inside: np.ndarray, limit: int) -> Iterator[tuple[int, int
         lo = end
 
 
+_TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_STEP = U64(0x9FB21C651E98DF25)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 64-bit number that the eight bytes from each place on make, zeros beyond the end."""
+    pad = np.concatenate([data, np.zeros(16, np.uint8)])
+    return np.lib.stride_tricks.as_strided(pad[:8].view(np.uint64), (len(data) + 8,), (1,))
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end) of one piece, the same wherever a span stands."""
-    up, down = _BYTES.get(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + U64(1)) * up[:-1], out=total[1:])
+    """64-bit hashes of the byte spans [start, end), the same wherever a span stands.
+
+    Eight bytes a step go through a bijection that mixes every bit, over all spans at once, so no
+    arrangement of letters collides by its structure; spans of up to 7 bytes never collide among
+    themselves. Long spans are hashed one by one (XXH3).
+    """
+    size = ends - starts
+    at = eights(data)
+    h = at[starts] & _TAIL[np.minimum(size, 8)]
+    short = size < 8
+    h[short] |= size[short].astype(np.uint64) << U64(56)
+    h[~short] ^= size[~short].astype(np.uint64) * _STEP
+    mix(h)
+    rest = np.flatnonzero((size > 8) & (size <= LONG_SPAN))
+    done = 8
+    while len(rest):
+        part = at[starts[rest] + done] & _TAIL[np.minimum(size[rest] - done, 8)]
+        h[rest] = mix((h[rest] ^ part) * _STEP)
+        done += 8
+        rest = rest[size[rest] > done]
+    for i in np.flatnonzero(size > LONG_SPAN):
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return h
+
+
+def place_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of spans that may overlap, in constant time each.
+
+    They find candidates only: special arrangements collide, so what meets must be compared.
+    """
+    up, down = _BYTES.get(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) + U64(1)) * up[:-1], out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
     h += (ends - starts).astype(np.uint64) * U64(0x165667B19E3779F9)
     return mix(h)
@@ -166,12 +208,23 @@ def words(t: Texts, inside: np.ndarray = WORD_BYTE, hashed: bool = True, limit:
     return Words(start, end, np.searchsorted(start, t.offsets), h)
 
 
+def _strings(first: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_string(), len(first) - 1, [None, pa.py_buffer(first.astype(np.int64)), pa.py_buffer(data)]).cast(pa.string())
+
+
 def span_strings(t: Texts, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The byte spans [start, end) as strings."""
+    """The byte spans [start, end), in any order, as strings."""
     size = end - start
     first = np.concatenate([[0], np.cumsum(size)])
-    data = t.data[np.arange(first[-1]) + np.repeat(start - first[:-1], size)]
-    return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(first.astype(np.int64)), pa.py_buffer(data)]).cast(pa.string())
+    return _strings(first, t.data[np.arange(first[-1]) + np.repeat(start - first[:-1], size)])
+
+
+def ordered_strings(t: Texts, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """As ``span_strings``, for spans that are in order and do not overlap."""
+    inside = np.zeros(len(t.data) + 1, np.int8)
+    inside[start] += 1
+    inside[end] -= 1
+    return _strings(np.concatenate([[0], np.cumsum(end - start)]), t.data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)])
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
