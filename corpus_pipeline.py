@@ -7,47 +7,41 @@ and read again as the next stage's documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strataform.llm import bpe, langid, mixing, storage
-from strataform.llm.exact_dedup import exact_dedup
+from strataform.llm.exact_dedup import distinct_texts
 from strataform.llm.queries import WORD_BPE
-from strataform.llm.simhash import simhash_dedup
+from strataform.llm.simhash import one_of_each
 
 #: Texts whose best language has less than this share of the evidence are rejected.
 MIN_LANGUAGE_SCORE = 0.5
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids``, a null id included."""
-    ids = ids.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, and those that no language explains better than the others together."""
-    found = langid.identify(docs)
-    good = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return _keep(docs, found.where(good))
+    """Drop documents without a letter, and those that no language explains better than the others together.
+
+    Null and empty texts go. Rows are judged one by one, whatever ids they repeat or lack.
+    """
+    return langid.accepted(docs, MIN_LANGUAGE_SCORE)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, keep the document with the largest id."""
-    return _keep(docs, exact_dedup(docs).where("kept"))
+    """Of equal texts (null is empty), keep one row: the largest id, any id before none; of rows alike in both, one."""
+    return distinct_texts(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints, keep the document with the smallest id."""
-    return _keep(docs, simhash_dedup(docs).where("doc_id <=> component_id"))
+    """Of linked fingerprints, keep one row: the smallest id, any id before none; texts without a word are alike."""
+    return one_of_each(docs)
 
 
 def weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as often as its source's target asks."""
+    """Take each row as often as its source's target asks; a null source is one of its own, texts without a word weigh nothing."""
     return mixing.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode every document taken."""
+    """Encode every row taken; a null text has no token."""
     return bpe.encode_documents(docs, WORD_BPE, with_ids=True)
 
 
