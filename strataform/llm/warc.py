@@ -2,7 +2,7 @@
 
 Headers are shuffled by payload digest: of records with equal payloads of ``MIN_PAYLOAD`` bytes or
 more, the one with the smallest page_id stays a response and the others become revisits
-that refer to it. Archives are written by Spark's text writer (one file per task, gzip),
+that refer to it. Archives are written by Spark's text writer (gzip, up to ``MAX_RECORDS`` a file),
 with fresh headers, so they work on any store and a lost task is committed once.
 Payloads are checked against their Content-Length and digest when they are read back.
 """
@@ -21,6 +21,8 @@ from . import storage
 
 MIN_PAYLOAD = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: An archive holds so many records at most, so that a file can be read back in one task.
+MAX_RECORDS = 10_000
 DATE = "1970-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
 
@@ -62,9 +64,9 @@ def records(resolved: DataFrame, pages: DataFrame) -> DataFrame:
 
     Responses carry their payload; revisits carry none.
     """
-    bodies = with_digests(pages)
-    refers = resolved.select("page_id", "refers_to").distinct().withColumnRenamed("page_id", "__id")
-    full = bodies.join(refers, bodies["page_id"].eqNullSafe(refers["__id"]), "left")
+    refers = resolved.where("refers_to is not null").select("payload_digest", "page_id", "refers_to").distinct()
+    refers = refers.repartition(storage.shuffle_partitions(refers))  # one row a key: adaptive execution may split a hot one's pages
+    full = storage.join_null_safe(with_digests(pages), refers, ["payload_digest", "page_id"])
     revisit = F.col("refers_to").isNotNull()
     lines = [
         F.lit("WARC/1.1"),
@@ -84,10 +86,10 @@ def records(resolved: DataFrame, pages: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD) -> None:
     """Write deduplicated ``.warc`` archives (gzip) of ``pages`` (page_id, url, html) to a folder.
 
-    One archive per task of the join that gives each page its original: payloads are shuffled once at most.
+    Archives come from the tasks of the join that gives each page its original: payloads are shuffled once at most.
     """
     headers = with_digests(pages).select("page_id", "payload_bytes", "payload_digest")
-    records(resolve(headers, min_payload), pages).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    records(resolve(headers, min_payload), pages).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", MAX_RECORDS).text(path)
 
 
 def parse(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -166,9 +168,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def archive_pages(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD) -> DataFrame:
     """Write the archives, read them back and resolve revisits against their originals.
 
-    (page_id, payload_bytes, payload_digest, record_type, refers_to), one row per distinct page_id
-    and payload; repeated rows are repeated records. A revisit's payload size is that of
-    the response with its digest. Null urls have no target header. Empty tables give no rows.
+    (page_id, payload_bytes, payload_digest, record_type, refers_to), one row per row of ``pages``:
+    each is a record of its own, judged by its payload. Rows that repeat both the smallest page_id and the payload are
+    all responses; one page_id may have a response and revisits with other payloads. A null page_id is later
+    than any other. A revisit's payload size is that of the response with its digest. Null html is
+    empty, null urls have no target header, other columns are not read. Empty tables give no rows.
     """
     spark = pages.sparkSession
     write_archives(pages, path, min_payload)
