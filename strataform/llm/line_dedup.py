@@ -45,11 +45,27 @@ def _line_rows(column: pa.Array):
     return t, doc[some], number[some], raw.start[some], raw.end[some], raw.hash[some]
 
 
-def _occurrences(batches):
-    for batch in batches:
-        for part in slices(batch, "text"):
-            _, doc, number, _, _, h = _line_rows(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(number, pa.int32()), pa.array(h.view(np.int64))], ["doc_id", "line_no", "line"])
+def _occurrences(carry: tuple[str, ...]):
+    """A row per line, and one without a line for each text that has none; ``row`` numbers the texts."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for part in slices(batch, "text"):
+                _, doc, number, _, _, h = _line_rows(part.column("text"))
+                none = np.flatnonzero(np.bincount(doc, minlength=part.num_rows) == 0)
+                owner = np.concatenate([doc, none])
+                is_none = np.arange(len(owner)) >= len(doc)
+                line = np.concatenate([h.view(np.int64), np.zeros(len(none), np.int64)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row + owner), pa.array(np.concatenate([number, np.zeros(len(none), np.int64)]), pa.int32()), pa.array(line, mask=is_none), *(part.column(c).take(pa.array(owner)) for c in ("doc_id", *carry))],
+                    ["row", "line_no", "line", "doc_id", *carry],
+                )
+                row += part.num_rows
+
+    return run
 
 
 def _line_texts(batches):
@@ -346,19 +362,13 @@ def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     return close.unionByName(dense).distinct()
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, n_lines, n_removed, n_links, removed), one row per row of ``docs`` (per doc_id if ids repeat).
-
-    Lines are the parts between line feeds that hold a word. A line goes if an equal line, or one
-    that links to it, stands earlier: in a smaller doc_id, or before it in the same document.
-    Lines are judged on the input. ``removed`` lists their numbers from 0; ``n_links`` sums,
-    over the document's lines, the distinct lines that link to each. Null and empty
-    texts have no line. Lines under ``min_chars`` characters (1 or 2 by default) link to none and go
-    by equality only. Null ids come first. Other columns are not read.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = storage.materialize(docs.mapInArrow(_occurrences, "doc_id long, line_no int, line long"), "lines")
-    place = F.struct("doc_id", "line_no")
+def _verdicts(docs: DataFrame, carry: tuple[str, ...], edits: int, min_chars: int) -> DataFrame:
+    """The result of ``line_dedup`` with the columns ``carry`` (longs) of ``docs``."""
+    docs = storage.texts_of(docs, ("doc_id", "long"), ("text", "string"), keep=carry)
+    schema = ", ".join(["row long, line_no int, line long, doc_id long", *(f"`{c}` long" for c in carry)])
+    every = storage.materialize(docs.mapInArrow(_occurrences(carry), schema), "lines")
+    held = every.where("line is not null")
+    place = F.struct("doc_id", "row", "line_no")
     classes = storage.materialize(held.groupBy("line").agg(F.min(place).alias("first")), "line-classes")
     links = storage.materialize(line_links(docs, edits, min_chars), "links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -366,20 +376,37 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     near = firsts.groupBy("a").agg(F.min("other").alias("other"), F.count(F.lit(1)).alias("links")).withColumnRenamed("a", "line")
     verdict = classes.join(near, "line", "left").select("line", "first", F.coalesce(F.col("other") < F.col("first"), F.lit(False)).alias("near_earlier"), F.coalesce("links", F.lit(0)).alias("links"))
     judged = storage.skew_join(held, verdict, "line").withColumn("goes", F.col("near_earlier") | (place != F.col("first")))
-    per = judged.groupBy("doc_id").agg(
+    per = judged.groupBy("row").agg(
+        *(F.max(c).alias(c) for c in ("doc_id", *carry)),
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if("goes").alias("n_removed"),
         F.sum("links").cast("long").alias("n_links"),
         F.array_sort(F.collect_list(F.when(F.col("goes"), F.col("line_no")))).alias("removed"),
     )
-    zero = F.lit(0).cast("long")
-    whole = storage.join_null_safe(docs.select("doc_id").distinct(), per, ["doc_id"])
-    return whole.select("doc_id", *[F.coalesce(c, zero).alias(c) for c in ("n_lines", "n_removed", "n_links")], F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    figures = ["n_lines", "n_removed", "n_links"]
+    none = every.where("line is null").select("doc_id", *carry, *(F.lit(0).cast("long").alias(c) for c in figures), F.array().cast("array<int>").alias("removed"))
+    return per.select("doc_id", *carry, *figures, "removed").unionByName(none)
+
+
+def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, n_lines, n_removed, n_links, removed), one row per row of ``docs``.
+
+    Lines are the parts between line feeds that hold a word. A line goes if an equal line, or one
+    that links to it, stands earlier: in a smaller doc_id, or before it in the same document.
+    Lines are judged on the input. ``removed`` lists their numbers from 0; ``n_links`` sums,
+    over the document's lines, the distinct lines that link to each. Null and empty
+    texts have no line. Lines under ``min_chars`` characters (1 or 2 by default) link to none and go
+    by equality only. Null ids come first; rows that repeat an id are documents of their own, in the order in
+    which they are read. Other columns are not read.
+    """
+    return _verdicts(docs, (), edits, min_chars)
 
 
-def remaining_text(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``docs`` with the lines that ``line_dedup`` removes taken out of ``text``."""
-    gone = verdicts.select(F.col("doc_id").alias("__id"), F.col("removed").alias("__removed"))
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.coalesce("__removed", F.array().cast("array<int>")), i))
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").withColumn("text", F.when(F.col("text").isNotNull(), F.array_join(kept, "\n"))).drop("__id", "__removed")
+def remaining_text(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with the lines that ``line_dedup`` removes taken out of ``text``, row by row; null texts stay null."""
+    rows, places = storage.placed(docs)
+    gone = storage.fresh(rows, "removed_")
+    verdicts = _verdicts(rows, tuple(places), edits, min_chars).where("n_removed > 0").select(*places, F.col("removed").alias(gone))
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i))
+    text = F.when(F.col(gone).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
+    return rows.join(verdicts, places, "left").withColumn("text", text).select(*(F.col(f"`{c}`") for c in docs.columns))
