@@ -250,14 +250,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out, most: int = FIT_
     """(text, quality): whole texts of the labelled rows that are not held out with the smallest id hashes.
 
     ``most`` rows in all; texts that would bring them over ``most_bytes`` are passed over.
-    The rows are chosen by hashes and sizes before any text is fetched. Equal rows count once.
+    The rows are chosen by hashes and sizes before any text is fetched. Of labels that repeat an id the
+    lowest counts, and of its documents one, the text with the smallest hash.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").where(~held_out)
-    chosen = usable.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     text = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # ``most`` rows of ids and labels are broadcast
-    text = text.withColumn("deal", F.xxhash64("doc_id")).withColumn("mark", F.xxhash64("text"))
-    sizes = text.select("deal", "doc_id", "mark", F.octet_length("text").alias("size")).distinct()
-    sizes = sizes.orderBy("deal", "doc_id", "mark").limit(most).toPandas()
+    text = text.withColumn("mark", F.xxhash64("text"))
+    sizes = text.groupBy("doc_id").agg(F.min(F.struct("mark", F.octet_length("text").alias("size"))).alias("one"))
+    sizes = sizes.select("doc_id", "one.*").orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()  # ``most`` rows at most
     fits, total = [], 0
     for doc_id, mark, size in zip(sizes["doc_id"], sizes["mark"], sizes["size"], strict=True):
         if total + size <= most_bytes:
@@ -293,6 +294,6 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, model: Model | No
     only one kind of label every score is that label's share (0.5 without any). Other
     columns are not read. The model is broadcast: it holds KNOWN_TOKENS tokens and their shapes at most.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = storage.texts_of(docs, ("doc_id", "long"), ("text", "string"))
     box = docs.sparkSession.sparkContext.broadcast(model or train(docs, labels))
     return docs.select("doc_id", "text", held_out_column().alias("held_out")).mapInArrow(_score(box), "doc_id long, held_out boolean, score double, predicted int")

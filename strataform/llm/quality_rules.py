@@ -166,7 +166,7 @@ def cleaned(docs: DataFrame, limit: int | None = None, min_share: float = MIN_KE
     ``n_line_words`` are the words in lines removed; the other figures are of the whole text. Null and
     empty texts fail the base rules. Rows that repeat an id are documents of their own. Other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), F.col("text").cast("string").alias("text"))
+    docs = storage.texts_of(docs, ("doc_id", "long"), ("source", "string"), ("text", "string")).withColumnRenamed("source", "host")
     marked = docs.withColumn("mark", F.xxhash64("text"))
     stats = storage.materialize(marked.mapInArrow(_lines, _HELD), "lines-held")
     frequent = storage.materialize(frequent_lines(stats, limit), "lines")
