@@ -81,27 +81,65 @@ def hmac_sha256(key: Column, data: Column) -> Column:
     return F.sha2(F.concat(pad(0x5C), inner), 256)
 
 
-#: Media types by extension, for files without one.
-EXTENSIONS = {
-    "image": ("png", "jpg", "jpeg", "gif", "webp", "svg", "bmp"),
-    "video": ("mp4", "webm", "mov", "mkv", "avi"),
-    "audio": ("mp3", "wav", "ogg", "flac", "m4a"),
-    "document": ("pdf", "doc", "docx", "odt", "rtf"),
-    "data": ("json", "csv", "tsv", "xml", "parquet"),
-    "archive": ("zip", "tar", "gz", "7z"),
-    "text": ("txt", "md", "log", "html"),
+def hkdf_sha256(key: Column, salt: Column, info: Column, size: int = 32) -> Column:
+    """HKDF-SHA-256 (RFC 5869) as hex: ``size`` bytes, 8160 at most."""
+    if not 0 < size <= 255 * 32:
+        raise ValueError("HKDF gives 1 to 8160 bytes")
+    secret = F.unhex(hmac_sha256(salt, key))
+    part, out = F.unhex(F.lit("")), []
+    for n in range(1, -(-size // 32) + 1):
+        part = F.unhex(hmac_sha256(secret, F.concat(part, info, F.unhex(F.lit(f"{n:02x}")))))
+        out.append(F.hex(part))
+    return F.lower(F.substring(F.concat(*out), 1, 2 * size))
+
+
+# File categories by the start of the media type, in this order, then by extension.
+MIME_CATEGORIES = (
+    ("application/pdf", "pdf"),
+    ("application/msword", "document"),
+    ("application/vnd.openxmlformats-officedocument.wordprocessingml.document", "document"),
+    ("application/vnd.ms-excel", "spreadsheet"),
+    ("application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "spreadsheet"),
+    ("application/vnd.ms-powerpoint", "presentation"),
+    ("application/vnd.openxmlformats-officedocument.presentationml.presentation", "presentation"),
+    ("image/", "image"),
+    ("video/", "video"),
+    ("audio/", "audio"),
+    ("application/zip", "archive"),
+    ("application/gzip", "archive"),
+    ("application/x-tar", "archive"),
+    ("application/x-7z-compressed", "archive"),
+    ("application/x-rar-compressed", "archive"),
+    ("text/csv", "spreadsheet"),
+    ("text/plain", "text"),
+    ("text/html", "code"),
+    ("text/xml", "code"),
+    ("application/json", "code"),
+    ("application/xml", "code"),
+)
+EXTENSION_CATEGORIES = {
+    "pdf": ("pdf",),
+    "document": ("doc", "docx"),
+    "spreadsheet": ("xls", "xlsx", "csv"),
+    "presentation": ("ppt", "pptx"),
+    "image": ("jpg", "jpeg", "png", "gif", "svg", "webp", "bmp", "ico"),
+    "video": ("mp4", "webm", "avi"),
+    "audio": ("mp3", "wav"),
+    "text": ("txt",),
+    "code": ("html", "htm", "json", "xml"),
+    "archive": ("zip", "gz", "tar", "7z", "rar"),
 }
 
 
 def file_category(mime: Column, filename: Column) -> Column:
-    """Category from the media type's prefix, else from the extension, else ``other``."""
-    out = F.lit(None).cast("string")
-    ext = F.lower(F.substring_index(filename, ".", -1))
-    for kind, names in reversed(EXTENSIONS.items()):
+    """Category from the media type's start, else from the extension, else ``other``."""
+    ext = F.lower(F.regexp_extract(F.coalesce(filename, F.lit("")), r"\.([^.]*)$", 1))
+    out = F.lit("other")
+    for kind, names in EXTENSION_CATEGORIES.items():
         out = F.when(ext.isin(*names), kind).otherwise(out)
-    for kind in ("image", "video", "audio", "text"):
-        out = F.when(F.startswith(mime, F.lit(kind + "/")), kind).otherwise(out)
-    return F.coalesce(out, F.lit("other"))
+    for start, kind in reversed(MIME_CATEGORIES):
+        out = F.when(F.startswith(mime, F.lit(start)), kind).otherwise(out)
+    return out
 
 
 def size_class(size: Column) -> Column:

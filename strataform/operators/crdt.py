@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import hlc_text
+from .documents import json_canon
 
 
 def _kind(v):
@@ -81,13 +83,34 @@ def merge_sets(elements: DataFrame) -> DataFrame:
     return per.where("not gone").drop("gone")
 
 
+def _name(field):
+    """A field name as JSON text, quotes and all."""
+    quoted = F.to_json(F.array(field))
+    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+
+
 def materialize_json(live: DataFrame) -> DataFrame:
-    """(collection, key, doc): top-level scalar paths as one JSON object with sorted fields."""
-    flat = live.where((F.size("path") == 1) & (F.col("kind") != "object"))
-    quoted = F.when(F.col("kind") == "string", F.to_json(F.array("value"))).otherwise(F.concat(F.lit("["), F.col("value"), F.lit("]")))
-    cell = F.struct(F.element_at("path", 1).alias("f"), F.substring(quoted, F.lit(2), F.length(quoted) - 2).alias("v"))
-    per = flat.groupBy("collection", "key").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    return per.select("collection", "key", F.concat(F.lit("{"), F.array_join(F.transform("cells", lambda x: F.concat(F.lit('"'), x["f"], F.lit('":'), x["v"])), ","), F.lit("}")).alias("doc"))
+    """(collection, key, doc): live paths as JSON objects with sorted fields, nested as their paths are.
+
+    Objects are put together level by level from the deepest up, one aggregate each; a path that lives below one without a
+    row of its own stands in an object too. Documents without a live path give no row.
+    """
+    keys = ["collection", "key"]
+    scalar = F.when(F.col("kind") == "string", _name(F.col("value"))).when(F.col("kind") == "null", "null").otherwise(F.col("value"))
+    cells = live.select(*keys, "path", F.when(F.col("kind") != "object", scalar).alias("text"))
+    depth = live.agg(F.max(F.size("path"))).first()[0] or 0
+    inner = None
+    for level in range(depth, 0, -1):
+        here = cells.where(F.size("path") == level)
+        if inner is not None:
+            here = here.join(inner, [*keys, "path"], "full").select(*keys, "path", F.coalesce("inside", "text").alias("text"))
+        cell = F.struct(F.element_at("path", -1).alias("field"), F.coalesce("text", F.lit("{}")).alias("text"))
+        grouped = here.groupBy(*keys, F.slice("path", 1, level - 1).alias("path")).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+        body = F.array_join(F.transform("cells", lambda x: F.concat(_name(x["field"]), F.lit(":"), x["text"])), ",")
+        inner = grouped.select(*keys, "path", F.concat(F.lit("{"), body, F.lit("}")).alias("inside"))
+    if inner is None:
+        return live.select(*keys, F.lit("{}").alias("doc")).limit(0)
+    return inner.select(*keys, F.col("inside").alias("doc"))
 
 
 def update_ops(previous: DataFrame, update: DataFrame, hlc) -> DataFrame:
@@ -106,6 +129,26 @@ def update_ops(previous: DataFrame, update: DataFrame, hlc) -> DataFrame:
     return changed.select("collection", "key", "path", F.coalesce("kind", "k0").alias("kind"), F.when(~gone, F.col("value")).alias("value"), hlc.alias("hlc"), gone.alias("tombstone"))
 
 
+def update_elements(previous: DataFrame, update: DataFrame, hlc) -> DataFrame:
+    """Writes to array elements (collection, key, path, tag, value, position, tombstone) that turn ``previous`` into ``update``.
+
+    Both hold live elements with ``value`` as JSON text and ``position``. An element equal to an old one, each old one used once
+    and in order, keeps its tag; others get tags of clock ``hlc``; old ones left over get tombstones. No tag is forgotten.
+    """
+    keys = ["collection", "key", "path"]
+
+    def numbered(rows):
+        nth = Window.partitionBy(*keys, "canon").orderBy("position")
+        return rows.withColumn("canon", json_canon(F.col("value"))).withColumn("nth", F.row_number().over(nth))
+
+    old = numbered(previous).select(*keys, "canon", "nth", F.col("tag").alias("tag0"), F.col("value").alias("value0"), F.col("position").alias("position0"))
+    new = numbered(update).select(*keys, "canon", "nth", "value", "position", F.lit(True).alias("is_new"))
+    both = old.join(new, [*keys, "canon", "nth"], "full")
+    gone = F.col("is_new").isNull()
+    tag = F.coalesce("tag0", F.concat(hlc_text(hlc), F.lit("#"), F.col("position").cast("string")))
+    return both.select(*keys, tag.alias("tag"), F.coalesce("value0", "value").alias("value"), F.coalesce("position", "position0").alias("position"), gone.alias("tombstone"))
+
+
 def last_write(ops: DataFrame) -> DataFrame:
     """(collection, key, hlc): the newest clock in a document."""
     return ops.groupBy("collection", "key").agg(F.max("hlc").alias("hlc"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .runs import running_sum
 
 
 def live(docs: DataFrame) -> DataFrame:
@@ -12,8 +17,10 @@ def live(docs: DataFrame) -> DataFrame:
     return docs.where(~F.col("deleted"))
 
 
-def point_get(docs: DataFrame, collection: str, key: str) -> DataFrame:
-    return live(docs).where((F.col("collection") == collection) & (F.col("key") == key))
+def point_get(docs: DataFrame, collection: str, key: str, acl: DataFrame | None = None, user: str = "") -> DataFrame:
+    """One live document; with access rules, one that ``user`` may not read is not found."""
+    found = live(docs).where((F.col("collection") == collection) & (F.col("key") == key))
+    return found if acl is None else readable(found, acl, user)
 
 
 def scan(docs: DataFrame, collection: str, start: str = "", limit: int = 0) -> DataFrame:
@@ -34,8 +41,8 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def equal_lookup(docs: DataFrame, field: Column, value: Column, limit: int = 100, order: tuple[str, ...] = ("collection", "key")) -> DataFrame:
-    """Documents whose field equals a value, in key order; the limit is held to 1..1000."""
-    return docs.where(field == value).orderBy(*order).limit(max(1, min(1000, limit)))
+    """Live documents whose field equals a value, in key order; the limit is held to 1..1000."""
+    return live(docs).where(field == value).orderBy(*order).limit(max(1, min(1000, limit)))
 
 
 def tier(name: Column, query: str) -> Column:
@@ -45,8 +52,8 @@ def tier(name: Column, query: str) -> Column:
 
 
 def ranked_lookup(docs: DataFrame, query: str, limit: int = 200) -> DataFrame:
-    """Keys (or collections) that match: by tier, then newest, then collection and key; all rows are ranked."""
-    found = docs.withColumn("tier", F.coalesce(tier(F.col("key"), query), F.when(tier(F.col("collection"), query).isNotNull(), 2))).where("tier is not null")
+    """Live documents whose key (or collection) matches: by tier, then newest, then collection and key; all are ranked."""
+    found = live(docs).withColumn("tier", F.coalesce(tier(F.col("key"), query), F.when(tier(F.col("collection"), query).isNotNull(), 2))).where("tier is not null")
     cut = found.orderBy("tier", F.desc("updated_ms"), "collection", "key").limit(max(1, min(1000, limit)))
     return cut.select("tier", "collection", "key", "updated_ms", F.substring("doc", 1, 200).alias("preview"))
 
@@ -137,20 +144,52 @@ def schema_violations(docs: DataFrame, json: str, properties: dict[str, str], re
     return docs.select("collection", "key", F.explode(F.array_compact(F.array(*problems))).alias("p")).select("collection", "key", "p.field", "p.problem")
 
 
+def _number_text(token: Column) -> Column:
+    """One spelling for each JSON number, whole ones without a point or exponent."""
+    real = token.try_cast("double")
+    whole = F.when(token.rlike(r"[.eE]"), F.when((real == F.floor(real)) & (F.abs(real) < 1e37), real.try_cast("decimal(38,0)"))).otherwise(token.try_cast("decimal(38,0)"))
+    return F.coalesce(whole.cast("string"), real.cast("string"), token)
+
+
+def json_canon(json: Column) -> Column:
+    """A JSON text with its fields in order and its numbers in one spelling; text inside strings stays. Null where it is no JSON."""
+    plain = F.to_json(F.try_parse_json(json))
+    tokens = F.regexp_extract_all(plain, F.lit(r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|[^"0-9-]+'), F.lit(0))
+    return F.array_join(F.transform(tokens, lambda x: F.when(x.rlike("^-?[0-9]"), _number_text(x)).otherwise(x)), "")
+
+
 def json_equal(a: Column, b: Column) -> Column:
-    """Deep equality of JSON texts, whatever the order of fields; numbers compare as numbers."""
-    canon = lambda c: F.to_json(F.try_parse_json(F.regexp_replace(c, r"(?<=[:\[,\s])(-?\d+)\.0+(?=[,\]\}\s]|$)", "$1")))
-    return canon(a).eqNullSafe(canon(b))
+    """Deep equality of JSON texts, whatever the order of fields; numbers compare as numbers, strings as they are."""
+    return json_canon(a).eqNullSafe(json_canon(b))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """(collection, docs, checksum) of live documents, whatever their order.
 
-    Per collection the sorted lines ``key=clock`` are hashed.
+    Per collection the sorted lines ``key=clock`` are hashed as one text. It is a chain by nature, so one task
+    hashes a collection, but the engine sorts (and can spill) and the lines only stream by. ``spread_fingerprint`` has no chain.
     """
-    line = F.concat("key", F.lit("="), "clock")
-    per = live(docs).groupBy("collection").agg(F.count(F.lit(1)).alias("docs"), F.array_sort(F.collect_list(line)).alias("lines"))
-    return per.select("collection", "docs", F.sha2(F.concat(F.array_join("lines", "\n"), F.lit("\n")), 256).alias("checksum"))
+    lines = live(docs).select("collection", F.concat("key", F.lit("="), "clock").alias("line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(name, count, text):
+            text.update(b"\n")
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([count], pa.int64()), pa.array([text.hexdigest()], pa.string())], ["collection", "docs", "checksum"])
+
+        now, count, some, text = None, 0, False, hashlib.sha256()
+        for batch in batches:
+            for name, line in zip(batch.column("collection").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                if count and name != now:
+                    yield row(now, count, text)
+                    count, some, text = 0, False, hashlib.sha256()
+                now, count = name, count + 1
+                if line is not None:
+                    text.update(b"\n" * some + line.encode())
+                    some = True
+        if count:
+            yield row(now, count, text)
+
+    return lines.repartition("collection").sortWithinPartitions("collection", "line").mapInArrow(run, "collection string, docs long, checksum string")
 
 
 def spread_fingerprint(docs: DataFrame) -> DataFrame:
@@ -202,9 +241,15 @@ def quota(docs: DataFrame, limit_bytes: int) -> DataFrame:
 def admit(writes: DataFrame, limit_bytes: int, overdraft: float = 0.05) -> DataFrame:
     """Whether each write of a node fits: growth up to the limit, merges up to the overdraft above it.
 
-    Running sums go per node in order of ``seq``.
+    Running sums go per node in order of ``seq``, in blocks, so a busy node is not one task.
     """
-    running = Window.partitionBy("node").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum("growth").over(running)
     ceiling = F.when(F.col("merge"), F.lit(limit_bytes * (1 + overdraft))).otherwise(F.lit(float(limit_bytes)))
-    return writes.withColumn("total", total).withColumn("admitted", (F.col("growth") <= 0) | (F.col("total") <= ceiling))
+    return running_sum(writes, "node", "seq", "growth", "total").withColumn("admitted", (F.col("growth") <= 0) | (F.col("total") <= ceiling))
+
+
+def derived_problems(stored: DataFrame, derived: DataFrame) -> DataFrame:
+    """(collection, key, problem): stored documents (``doc``) that the derived ones lack or hold with another content."""
+    other = derived.select("collection", "key", F.col("doc").alias("other"), F.lit(True).alias("there"))
+    both = stored.where("doc <> '{}'").join(other, ["collection", "key"], "left")
+    problem = F.when(F.col("there").isNull(), "missing").when(~json_equal(F.col("doc"), F.col("other")), "differs")
+    return both.select("collection", "key", problem.alias("problem")).where("problem is not null")

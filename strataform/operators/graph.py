@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
+#: A class's table has so many columns at most; more are an error.
+MAX_COLUMNS = 10_000
 MAX_DEPTH = 64
 
 
@@ -51,14 +55,15 @@ def stats(edges: DataFrame, docs: DataFrame | None = None) -> DataFrame:
 def reach(edges: DataFrame, root: str, depth: int = 0, reverse: bool = False) -> DataFrame:
     """(node, depth) of nodes below ``root`` (above it if ``reverse``), each at its least depth.
 
-    Breadth first: a round joins the frontier with the edges and drops what was seen. Rounds end in
-    checkpoints on the cluster's reliable storage; cycles end, and depth 0 means ``MAX_DEPTH``.
+    Breadth first: a round joins the frontier with the edges and drops what was seen. The distinct edges are written once,
+    dealt by the end that the frontier meets, and rounds end in checkpoints, all on the cluster's
+    reliable storage; cycles end, and depth 0 means ``MAX_DEPTH``.
     """
     spark = edges.sparkSession
-    _checkpoint_dir(spark)
+    shared_dir(spark)
     depth = MAX_DEPTH if depth <= 0 else min(depth, MAX_DEPTH)
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    step = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
+    step = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct().repartition("node").checkpoint()
     frontier = spark.createDataFrame([(root,)], "node string")
     seen, found = frontier, None
     for level in range(1, depth + 1):
@@ -71,14 +76,6 @@ def reach(edges: DataFrame, root: str, depth: int = 0, reverse: bool = False) ->
     return found if found is not None else frontier.withColumn("depth", F.lit(0))
 
 
-def _checkpoint_dir(spark) -> None:
-    """Use the cluster's folder; set one only where none is set."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strataform-"))
-
-
 def asymmetric(out: DataFrame, inward: DataFrame) -> DataFrame:
     """Edges (src, dst) that only one of the two adjacency tables holds."""
     a, b = out.select("src", "dst").distinct(), inward.select("src", "dst").distinct()
@@ -94,3 +91,29 @@ def object_view(docs: DataFrame, edges: DataFrame, cls: str, columns: list[str])
     named = [F.coalesce(F.regexp_extract(x, r"^\{\"c\":(.*)\}$", 1), F.lit("null")) for x in cells]
     text = [F.when(F.col(c).isNull(), "null").otherwise(x).alias(c) for c, x in zip(columns, named, strict=True)]
     return own.join(parent, "key", "left").join(children, "key", "left").select("key", *text, "_parent", F.coalesce("_child_count", F.lit(0).cast("long")).alias("_child_count"))
+
+
+def class_columns(members: DataFrame, json: str = "doc") -> list[str]:
+    """The sorted names of all scalar fields of JSON documents: a table's header, so it fits the driver (``MAX_COLUMNS``)."""
+    fields = members.select(F.explode(F.map_entries(F.try_variant_get(F.try_parse_json(json), "$", "map<string,variant>"))).alias("f"))
+    names = fields.where(~F.schema_of_variant("f.value").rlike("^(OBJECT|ARRAY)")).select("f.key").distinct().limit(MAX_COLUMNS + 1).collect()
+    if len(names) > MAX_COLUMNS:
+        raise ValueError(f"more than {MAX_COLUMNS} columns")
+    return sorted(r["key"] for r in names)
+
+
+def json_object_view(docs: DataFrame, edges: DataFrame, cls: str, json: str = "doc") -> DataFrame:
+    """A class (docs: key, class, a JSON document) as a table: the union of its members' scalar fields as JSON text,
+    ``null`` where one has none, the parent's key, and the number of children."""
+    own = docs.where(F.col("class") == cls)
+    columns = class_columns(own, json)
+    fields = own.select("key", F.try_variant_get(F.try_parse_json(json), "$", "map<string,variant>").alias("f"))
+
+    def cell(name: str):
+        value = F.try_element_at("f", F.lit(name))
+        return F.when(value.isNull() | F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)"), "null").otherwise(F.to_json(value)).alias(name)
+
+    parent = edges.where("label = 'child'").groupBy(F.col("dst").alias("key")).agg(F.min("src").alias("_parent"))
+    children = edges.where("label = 'child'").groupBy(F.col("src").alias("key")).agg(F.count_distinct("dst").alias("_child_count"))
+    table = fields.select("key", *(cell(c) for c in columns)).join(parent, "key", "left").join(children, "key", "left")
+    return table.withColumn("_child_count", F.coalesce("_child_count", F.lit(0).cast("long")))

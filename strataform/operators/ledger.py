@@ -8,9 +8,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .documents import latest
+from .runs import previous
 
 GENESIS = "0" * 64
 FEED_LIMIT = 256
@@ -50,14 +50,20 @@ def build_chain(entries: DataFrame) -> DataFrame:
 
 def links(chain: DataFrame) -> DataFrame:
     """Add ``linked``: whether prev_hash is the hash of the node's entry before (zeros for the first one)."""
-    before = F.lag("entry_hash", 1, GENESIS).over(Window.partitionBy("node").orderBy("lsn"))
-    return chain.withColumn("linked", F.col("prev_hash").eqNullSafe(before))
+    before = F.when(F.col("before_").isNull(), F.lit(GENESIS)).otherwise(F.col("before_.entry_hash"))
+    return previous(chain, "node", "lsn", "entry_hash", "before_").withColumn("linked", F.col("prev_hash").eqNullSafe(before)).drop("before_")
 
 
 def segment_linked(chain: DataFrame) -> DataFrame:
     """(node, entries, linked): whether every entry of a peer's segment but its first follows the one before."""
-    before = F.lag("entry_hash").over(Window.partitionBy("node").orderBy("lsn"))
-    return chain.withColumn("ok", before.isNull() | (F.col("prev_hash") == before)).groupBy("node").agg(F.count(F.lit(1)).alias("entries"), F.bool_and("ok").alias("linked"))
+    before = F.col("before_.entry_hash")
+    marked = previous(chain, "node", "lsn", "entry_hash", "before_").withColumn("ok", before.isNull() | (F.col("prev_hash") == before))
+    return marked.groupBy("node").agg(F.count(F.lit(1)).alias("entries"), F.bool_and("ok").alias("linked"))
+
+
+def replica_tips(chains: DataFrame) -> DataFrame:
+    """(node, lsn, entry_hash): the last entry of every peer whose segment holds together; what ``quorum`` counts."""
+    return tips(chains).join(segment_linked(chains).where("linked").select("node"), "node", "left_semi")
 
 
 def signature_counts(chain: DataFrame) -> DataFrame:
@@ -68,11 +74,9 @@ def signature_counts(chain: DataFrame) -> DataFrame:
 
 def verify(chain: DataFrame) -> DataFrame:
     """(node, checked, bad_links, bad_content, first_bad): links by the entry before, content by hashing anew."""
-    before = F.lag("entry_hash").over(Window.partitionBy("node").orderBy("lsn"))
-    first = F.row_number().over(Window.partitionBy("node").orderBy("lsn")) == 1
-    good_link = F.when(first, F.col("prev_hash").isNotNull()).otherwise(F.col("prev_hash") == before)
+    good_link = F.when(F.col("before_").isNull(), F.col("prev_hash").isNotNull()).otherwise(F.col("prev_hash") == F.col("before_.entry_hash"))
     good_body = F.col("entry_hash") == F.sha2(content(F.col("prev_hash"), F.col("lsn"), F.col("type"), F.col("collection"), F.col("key"), F.col("payload")).cast("binary"), 256)
-    marked = chain.withColumn("link", F.coalesce(good_link, F.lit(False))).withColumn("body", F.coalesce(good_body, F.lit(False)))
+    marked = previous(chain, "node", "lsn", "entry_hash", "before_").withColumn("link", F.coalesce(good_link, F.lit(False))).withColumn("body", F.coalesce(good_body, F.lit(False)))
     return marked.groupBy("node").agg(
         F.count(F.lit(1)).alias("checked"), F.count_if(~F.col("link")).alias("bad_links"), F.count_if(~F.col("body")).alias("bad_content"), F.min(F.when(~F.col("link") | ~F.col("body"), F.col("lsn"))).alias("first_bad")
     )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,15 +30,26 @@ def placement_input(collection: Column, key: Column, shard: Column) -> Column:
 def arcs(points: DataFrame, copies: int) -> DataFrame:
     """(low, high, replicas): for each arc of the ring, the first ``copies`` distinct nodes clockwise.
 
-    The ring has nodes * VNODES rows; distinct nodes are found on its sorted list, not per key.
+    The ring has nodes * VNODES rows (``replicas`` bounds them). It is walked backwards twice: each point's list is its own node
+    and the list of the point after it without that node.
     """
-    listed = points.groupBy().agg(F.array_sort(F.collect_list(F.struct("position", "node"))).alias("r"))
-    n = F.size("r")
-    nodes = F.transform("r", lambda x: x["node"])
-    turned = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.when(i == 0, F.lit("")).otherwise(F.element_at("r", F.greatest(i, F.lit(1)))["position"]).alias("low"), F.element_at("r", i + 1)["position"].alias("high"), F.slice(F.array_distinct(F.concat(F.slice(nodes, i + 1, n), F.slice(nodes, F.lit(1), F.greatest(i, F.lit(1))))), 1, copies).alias("replicas")))
-    inside = listed.select(F.explode(turned).alias("a")).select("a.low", "a.high", "a.replicas")
-    last = listed.select(F.element_at("r", -1)["position"].alias("low"), F.lit("g").alias("high"), F.slice(F.array_distinct(nodes), 1, copies).alias("replicas"))
-    return inside.unionByName(last)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ring_ = sorted((p, n) for b in batches for p, n in zip(b.column("position").to_pylist(), b.column("node").to_pylist(), strict=True))
+        after: list[str] = []
+        lists = []
+        for turn in range(2):
+            for _, node in reversed(ring_):
+                after = [node, *(x for x in after if x != node)][:copies]
+                if turn:
+                    lists.append(after)
+        if ring_:
+            lists.reverse()
+            positions = [p for p, _ in ring_]
+            columns = [["", *positions], [*positions, "g"], [*lists, lists[0]]]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.string()))], ["low", "high", "replicas"])
+
+    return points.select("position", "node").coalesce(1).mapInArrow(walk, "low string, high string, replicas array<string>")
 
 
 def replicas(keys: DataFrame, nodes: DataFrame, copies: int, max_nodes: int = 4096) -> DataFrame:

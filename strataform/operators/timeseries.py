@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import align_down
+from .documents import latest
 
 MINUTE_MS = 60_000
 HOUR_MS = 3_600_000
 DAY_MS = 86_400_000
-# Field names that hold a time or a value, in order of precedence.
+# Field names that hold a time or a value, in order of precedence, and those that never hold a value.
 TIME_FIELDS = ("ts", "timestamp", "time", "timestamp_ms", "ts_ms", "time_ms")
+NOT_VALUES = ("ts", "timestamp", "time", "timestamp_ms", "ts_ms", "time_ms", "date", "datetime", "series", "id", "key", "name", "tag", "device", "host")
 VALUE_FIELDS = ("value", "v", "val", "reading", "metric", "measurement", "count", "data")
 
 
@@ -22,22 +24,34 @@ def number_field(json: Column, name: str) -> Column:
     return F.when(numeric, F.try_variant_get(F.try_parse_json(json), f"$.{name}", "double"))
 
 
+def first_number(json: Column) -> Column:
+    """The first field by name that is a JSON number and no time or label (``NOT_VALUES``), as double."""
+    fields = F.map_entries(F.try_variant_get(F.try_parse_json(json), "$", "map<string,variant>"))
+    numbers = F.filter(fields, lambda e: F.schema_of_variant(e["value"]).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & ~e["key"].isin(*NOT_VALUES))
+    return F.array_min(F.transform(numbers, lambda e: F.struct(e["key"].alias("field"), e["value"].cast("double").alias("value"))))["value"]
+
+
 def extract_points(docs: DataFrame, json: str = "doc", clock_ms: str = "updated_ms", parse_iso: bool = False) -> DataFrame:
     """(key, series, ts_ms, value) of documents; without a numeric time the document's clock is used.
 
-    The series is a non-empty text field ``series``, else the key up to its first colon. Documents
-    without a numeric value are left out.
+    The series is a non-empty text field ``series``, else the key up to its first colon. The value is the
+    first of ``VALUE_FIELDS`` that is a number, else the first number by field name. Documents without one are left out.
     """
     times = [number_field(F.col(json), f).cast("long") for f in TIME_FIELDS]
     if parse_iso:
         times += [F.unix_millis(F.try_to_timestamp(F.get_json_object(json, f"$.{f}"))) for f in TIME_FIELDS]
     named = F.try_variant_get(F.try_parse_json(F.col(json)), "$.series", "variant")
     series = F.when(F.schema_of_variant(named) == "STRING", F.nullif(F.get_json_object(json, "$.series"), F.lit("")))
-    value = F.coalesce(*[number_field(F.col(json), f) for f in VALUE_FIELDS])
+    value = F.coalesce(*[number_field(F.col(json), f) for f in VALUE_FIELDS], first_number(F.col(json)))
     points = docs.select("key", F.coalesce(series, F.substring_index("key", ":", 1)).alias("series"), F.coalesce(*times, F.col(clock_ms)).alias("ts_ms"), value.alias("value"))
     return points.where("value is not null")
 
 
+def newest_points(points: DataFrame, clock: str = "updated_ms") -> DataFrame:
+    """One point per key, its newest write: a key written in two buckets counts in the later write's only."""
+    return latest(points, ["key"], clock)
+
+
 def rollup(points: DataFrame, bucket_ms: int = MINUTE_MS, order: str = "time") -> DataFrame:
     """Per series and bucket: count, min, max, sum, first and last (by time then key, or by key)."""
     by = F.struct("ts_ms", "key") if order == "time" else F.col("key")

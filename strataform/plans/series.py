@@ -27,13 +27,27 @@ def _query_vector(s, d):
     return [float(x) for x in row[0]] if row else [0.0] * 64
 
 
+def _queries(e):
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def _ann(s, d):
+    e = table(s, d, "embeddings")
+    return V.ann_batch(e, _queries(e), 10).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
+
+
+def _ann_recall(s, d):
+    e = table(s, d, "embeddings")
+    got = V.recall(V.ann_batch(e, _queries(e), 10), V.knn_batch(e, _queries(e), 10))
+    return got.select("wanted", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def _knn_batch(s, d):
     e = table(s, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return V.knn_batch(e, q, 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
+    return V.knn_batch(e, _queries(e), 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("score", 5).alias("score"))
 
 
-_DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+_DOT = "(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
 
 
 def _edges(s, d):
@@ -74,6 +88,8 @@ Q = {
     "v04_int8_norms": (lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(V.quantized_score(F.col("embedding"), F.col("embedding")), 6).alias("norm")), "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: round(greatest(least(x::DOUBLE, 1.0), -1.0) * 127) ** 2)) / 16129.0, 6) AS norm FROM embeddings"),
     "v01_dimension_check": (lambda s, d: table(s, d, "embeddings").groupBy(F.size("embedding").cast("long").alias("dims")).agg(F.count(F.lit(1)).alias("n")), "SELECT len(embedding)::BIGINT AS dims, count(*) AS n FROM embeddings GROUP BY 1"),
     "v03_lsh_buckets": (lambda s, d: V.lsh_candidates(table(s, d, "embeddings")), None),
+    "v03_ann_search": (_ann, None),
+    "v03_ann_recall": (_ann_recall, "SELECT least(10, (SELECT count(*) FROM embeddings)) * count(*) AS wanted, true AS enough FROM embeddings WHERE vec_id % 100 = 0"),
     "g01_edges_derive": (lambda s, d: _edges(s, d).select("src", "dst", "label"), f"WITH {GEO_SQL} SELECT src, dst, label FROM edges"),
     "g04_out_edges": (lambda s, d: G.out_edges(_edges(s, d), "n3"), f"WITH {GEO_SQL} SELECT DISTINCT dst, label FROM edges WHERE src = 'n3'"),
     "g04_in_edges": (lambda s, d: G.in_edges(_edges(s, d), "s3"), f"WITH {GEO_SQL} SELECT DISTINCT src, label FROM edges WHERE dst = 's3'"),

@@ -58,14 +58,14 @@ def files(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("page_id") % 3 == 0, "image/png").when(F.col("page_id") % 3 == 1, "text/html").otherwise("application/x").alias("mime"),
         F.char_length("html").cast("long").alias("size_bytes"),
         (F.lit(1_700_000_000_000) + F.col("page_id") * 3_600_000).alias("created_ms"),
-        F.substring("html", 1, 300).alias("excerpt"),
+        F.col("html").alias("excerpt"),
     )
 
 
 FILES_SQL = """files AS (SELECT 'assets' AS collection, lpad(page_id::VARCHAR, 8, '0') AS key,
     (CASE WHEN page_id % 3 = 0 THEN 'Photo' ELSE 'page' END) || page_id::VARCHAR || CASE page_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.html' ELSE '.bin' END AS filename,
     CASE page_id % 3 WHEN 0 THEN 'image/png' WHEN 1 THEN 'text/html' ELSE 'application/x' END AS mime,
-    length(html)::BIGINT AS size_bytes, 1700000000000 + page_id * 3600000 AS created_ms, substr(html, 1, 300) AS excerpt FROM pages)"""
+    length(html)::BIGINT AS size_bytes, 1700000000000 + page_id * 3600000 AS created_ms, html AS excerpt FROM pages)"""
 
 
 def geo_docs(spark: SparkSession, d: str) -> DataFrame:

@@ -102,7 +102,7 @@ Q = {
     "p01_field_access": (lambda s, d: table(s, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "int").alias("k")), "SELECT event_id, (props::JSON ->> '$.k')::INT AS k FROM events"),
     "x08_flat_text": (lambda s, d: table(s, d, "events").select("event_id", D.flat_text(F.concat(F.lit('{"a": [true, null, 1.5], "b": '), "props", F.lit("}"))).alias("flat")), "SELECT event_id, 'a true 1.5 b k ' || (props::JSON ->> '$.k') AS flat FROM events"),
     "s22_number_cells": (_cells, "SELECT c_custkey, CASE c_custkey % 6 WHEN 2 THEN 12.5::DOUBLE WHEN 5 THEN c_custkey::DOUBLE END AS cell FROM customer"),
-    "n04_file_category": (lambda s, d: T.files(s, d).select("key", scalars.file_category(F.col("mime"), F.col("filename")).alias("category"), scalars.size_class(F.col("size_bytes")).alias("size_class")), f"WITH {FILES_SQL} SELECT key, CASE mime WHEN 'image/png' THEN 'image' WHEN 'text/html' THEN 'text' ELSE 'other' END AS category, CASE WHEN size_bytes < 1048576 THEN 'small' WHEN size_bytes <= 10485760 THEN 'medium' ELSE 'large' END AS size_class FROM files"),
+    "n04_file_category": (lambda s, d: T.files(s, d).select("key", scalars.file_category(F.col("mime"), F.col("filename")).alias("category"), scalars.size_class(F.col("size_bytes")).alias("size_class")), f"WITH {FILES_SQL} SELECT key, CASE mime WHEN 'image/png' THEN 'image' WHEN 'text/html' THEN 'code' ELSE 'other' END AS category, CASE WHEN size_bytes < 1048576 THEN 'small' WHEN size_bytes <= 10485760 THEN 'medium' ELSE 'large' END AS size_class FROM files"),
     "n05_hlc_parse": (lambda s, d: T.orders_docs(s, d).select("key", scalars.parse_hlc(F.col("clock")).alias("h")).select("key", "h.physical_ms", "h.logical", "h.node_id"), f"WITH {ORDERS_SQL} SELECT key, updated_ms AS physical_ms, 0::BIGINT AS logical, 'n' || (cust % 5) AS node_id FROM docs"),
     "a05_spread_checksum": (lambda s, d: D.spread_fingerprint(T.orders_docs(s, d)), f"""WITH {ORDERS_SQL}, h AS (SELECT collection, sha256(key || '=' || clock) AS x FROM docs WHERE NOT deleted)
         SELECT collection, count(*) AS docs, concat_ws('-', {', '.join(f"sum(('0x' || substr(x, {15 * k + 1}, 15))::BIGINT)::VARCHAR" for k in range(4))}) AS checksum FROM h GROUP BY 1"""),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -34,3 +35,14 @@ def local(cpus: int | None = None, memory: str = "8g") -> SparkSession:
     spark = build(master=f"local[{cpus}]", spark__sql__shuffle__partitions=str(cpus), spark__driver__memory=memory, spark__ui__enabled="false")
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one in local sessions without it."""
+    jsc = spark.sparkContext._jsc.sc()
+    setting = spark.conf.get("spark.checkpoint.dir", None)
+    if jsc.getCheckpointDir().isEmpty():
+        if not setting and spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(setting or "file://" + tempfile.mkdtemp(prefix="strataform-"))
+    return jsc.getCheckpointDir().get()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,29 +35,33 @@ def sessions(points: DataFrame, gap: str, late: str) -> DataFrame:
 
 
 def first_messages(messages: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Each message id once within the watermark; an empty id is never a repeat."""
-    named = messages.withColumn("once", F.when(F.col("message_id") == "", F.concat(F.lit("\u0000"), F.uuid())).otherwise(F.col("message_id")))
-    return named.withWatermark("ts", late).dropDuplicatesWithinWatermark(["once"]).drop("once")
+    """Each message id once within the watermark; messages with an empty or null id are never repeats."""
+    named = F.coalesce(F.col("message_id"), F.lit("")) != ""
+    held = messages.withWatermark("ts", late)
+    return held.where(named).dropDuplicatesWithinWatermark(["message_id"]).unionByName(held.where(~named))
 
 
 def rate_limited(requests: DataFrame, rate: float, burst: float) -> DataFrame:
-    """(client, at_ms, allowed): a token bucket per client, over requests in order of time in each batch."""
+    """(client, at_ms, allowed): a token bucket per client, over the requests of each batch in order of time.
+
+    The bucket is a fold over a client's requests; the state is two numbers a client. A batch's requests of one
+    client are sorted together, so its trigger's size (``follow``) bounds what a task holds.
+    """
 
     def allow(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tokens, last = state.get if state.exists else (burst, None)
-        for pdf in frames:
-            pdf = pdf.sort_values("at_ms")
-            out = []
-            for now in pdf["at_ms"]:
-                if last is not None:
-                    tokens = min(burst, tokens + max(0, now - last) / 1000 * rate)
-                last = int(now) if last is None else max(last, int(now))
-                out.append(tokens >= 1)
-                tokens -= out[-1]
-            yield pd.DataFrame({"client": key[0], "at_ms": pdf["at_ms"], "allowed": out})
+        at = np.sort(np.concatenate([np.zeros(0, np.int64), *(pdf["at_ms"].to_numpy(np.int64) for pdf in frames)]))
+        allowed = np.zeros(len(at), bool)
+        for i, now in enumerate(at.tolist()):
+            if last is not None:
+                tokens = min(burst, tokens + max(0, now - last) / 1000 * rate)
+            last = now if last is None else max(last, now)
+            allowed[i] = tokens >= 1
+            tokens -= bool(allowed[i])
         state.update((float(tokens), last))
+        yield pd.DataFrame({"client": key[0], "at_ms": at, "allowed": allowed})
 
-    return requests.groupBy("client").applyInPandasWithState(allow, "client string, at_ms long, allowed boolean", "tokens double, last long", "append", GroupStateTimeout.NoTimeout)
+    return requests.where("at_ms is not null").groupBy("client").applyInPandasWithState(allow, "client string, at_ms long, allowed boolean", "tokens double, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def upsert_batches(stream: DataFrame, path: str, checkpoint: str):
