@@ -27,7 +27,7 @@ from . import storage
 from .textarrays import U64, Texts, Words, joined, texts, windows, words
 
 WINDOW = 20
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Chunks to a shuffle partition, and buckets of the hash range to one.
 CHUNKS_EACH = 32
 BUCKETS_EACH = 4
