@@ -9,6 +9,7 @@ CHUNK_CHARS = 3500
 SPLIT_ABOVE = 2000
 # Fixed value: characters that end a token, besides white space.
 DELIMITERS = r"[\s,.;:!?()\[\]{}\"'\-_/]+"
+_DROPPED = "[^a-z0-9" + DELIMITERS[1:-1]
 SORTS = {
     "size_bytes": [F.asc, "size_bytes"],
     "-size_bytes": [F.desc, "size_bytes"],
@@ -50,10 +51,14 @@ def search(files: DataFrame, query: str, offset: int = 0, limit: int = 50) -> Da
     return files.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), F.desc("created_ms"), "collection", "key").offset(offset).limit(limit)
 
 
+def _plain(text: Column) -> Column:
+    """The text with its tokens as runs of a-z and 0-9 between delimiters: one pass over it, not one a token."""
+    return F.regexp_replace(F.lower(text), _DROPPED, "")
+
+
 def tokens(text: Column) -> Column:
     """Tokens in order, lower case, of a-z and 0-9; empty ones left out."""
-    plain = F.transform(F.split(text, DELIMITERS), lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", ""))
-    return F.filter(plain, lambda x: x != "")
+    return F.filter(F.split(_plain(text), DELIMITERS), lambda x: x != "")
 
 
 def postings(files: DataFrame, key: str = "key", name: str = "filename", content: str = "content") -> DataFrame:
@@ -78,17 +83,15 @@ def _split(text: str) -> list[str]:
     return re.split(DELIMITERS, text)
 
 
-def _is(term: str):
-    return lambda x: x == term
-
-
 def bm25(docs: DataFrame, query: str, limit: int = 100, key: str = "key", content: str = "content", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The best ``limit`` documents by BM25, ties by key.
 
     One pass gives sizes and the query's term counts per document; texts are not exploded.
     """
     terms = sorted({t for t in ("".join(c for c in w.lower() if c.isascii() and c.isalnum()) for w in _split(query)) if t})
-    counted = docs.select(key, tokens(F.col(content)).alias("t")).select(key, F.size("t").alias("size"), *[F.size(F.filter("t", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    runs = [F.regexp_count("plain", F.lit(f"(?<![a-z0-9]){t}(?![a-z0-9])")).alias(f"tf{i}") for i, t in enumerate(terms)]
+    once = docs.select(key, F.explode(F.array(_plain(F.col(content)))).alias("plain"))  # a generator is not merged into what follows: one pass a text
+    counted = once.select(key, F.regexp_count("plain", F.lit("[a-z0-9]+")).alias("size"), *runs)
     whole = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     joined = counted.join(F.broadcast(whole), F.lit(True))  # one row is broadcast
