@@ -8,11 +8,15 @@ Lines that meet are verified with a banded bit-parallel edit distance, many pair
 
 Equal lines are one line throughout. Every key carries its line's character counts (16 classes,
 modulo 16): an edit moves them by two at most, so pairs further apart are no links and are not sent on.
-Keys that more than ``CROWD`` lines share are dealt into pairs of blocks of that size and verified there.
+Lines under a key that more than ``CROWD`` lines share are cut again, finer: of EDITS + 2 segments a linked
+line holds two, of EDITS + 3 three, and keys are made of these. Only lines alike in three of five segments,
+or too short to be cut so (under 5 characters), are dealt into pairs of blocks of ``CROWD`` lines and verified there.
 """
 
 from __future__ import annotations
 
+from itertools import combinations, product
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +29,8 @@ EDITS = 2
 #: Shorter lines, of no more characters than edits, are compared for equality only: any two of them would link.
 MIN_CHARS = EDITS + 1
 CROWD = 1024
+#: Rounds of keys: in round n, lines of crowded keys are told apart by n unchanged segments out of EDITS + n.
+ROUNDS = 3
 #: Up to so many candidate lines (8 bytes each) are broadcast to fetch their texts; more by a shuffle.
 BROADCAST_LINES = 1_000_000
 PACK_BYTES = 8 << 20
@@ -76,40 +82,52 @@ def _line_texts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64)), span_strings(t, start[one], end[one])], ["line", "text"])
 
 
-def _segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of segment ``i`` of lines of these lengths; the last ones are longer by one."""
-    base, longer = length // (edits + 1), length % (edits + 1)
-    short = edits + 1 - longer
+def _segment(length: np.ndarray, i: int, edits: int, same: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of segment ``i`` of ``edits + same`` of lines of these lengths; the last ones are longer by one."""
+    base, longer = length // (edits + same), length % (edits + same)
+    short = edits + same - longer
     return i * base + np.maximum(i - short, 0), base + (i >= short)
 
 
-def line_keys(points: np.ndarray, first: np.ndarray, edits: int = EDITS) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys (even) and probe keys (odd) of lines given as code points, with each key's line."""
+def _gaps(chosen: tuple[int, ...], segments: int) -> list[int]:
+    """How many segments stand before, between and after those chosen."""
+    return [b - a - 1 for a, b in zip((-1, *chosen), (*chosen, segments), strict=True)]
+
+
+def line_keys(points: np.ndarray, first: np.ndarray, edits: int = EDITS, same: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys (even) and probe keys (odd) of lines given as code points, with each key's line.
+
+    Of ``edits + same`` segments of a line, every linked line holds some ``same`` unchanged, and one can choose them
+    so that no gap around them has more edits than segments. A key is the text of ``same`` segments, which ones they
+    are and the length of the line cut. Bit 1 marks lines too short to be cut into one segment more.
+    """
     length = np.diff(first)
     every = np.arange(len(length))
-    begin, size, owner, salt, probe = [], [], [], [], []
-
-    def add(at, n, who, of_length, i, kind):
-        begin.append(first[who] + at)
-        size.append(n)
+    segments = edits + same
+    keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+
+    def add(spans, who, cut, which, probe):
+        h = np.zeros(len(who), np.uint64)
+        for at, n in spans:
+            h = mix(h + place_hash(points, first[who] + at, first[who] + at + n))
+        h = mix(h ^ mix(cut.astype(np.uint64) * U64(64) + U64(which)))
+        keys.append((h & ~U64(3)) | ((cut <= segments).astype(np.uint64) << U64(1)) | U64(probe))
         owner.append(who)
-        salt.append(of_length.astype(np.uint64) * U64(8) + U64(i))
-        probe.append(np.full(len(who), kind, np.uint64))
-
-    for i in range(edits + 1):
-        at, n = _segment(length, i, edits)
-        add(at, n, every, length, i, 0)
-        for less in range(edits + 1):
-            other = length - less
-            at, n = _segment(other, i, edits)
-            rest = edits - i  # edits left for what follows the segment
-            for shift in range(max(-i, less - rest), min(i, less + rest) + 1):
-                place = at + shift
-                ok = (place >= 0) & (place + n <= length) & (other > edits)
-                add(place[ok], n[ok], every[ok], other[ok], i, 1)
-    begin, size, owner = np.concatenate(begin), np.concatenate(size), np.concatenate(owner)
-    key = mix(place_hash(points, begin, begin + size) ^ mix(np.concatenate(salt)))
-    return (key & ~U64(1)) | np.concatenate(probe), owner
+
+    for which, chosen in enumerate(combinations(range(segments), same)):
+        gaps = _gaps(chosen, segments)
+        who = every[length >= segments]
+        add([_segment(length[who], i, edits, same) for i in chosen], who, length[who], which, 0)
+        for grown in product(*(range(-g, g + 1) for g in gaps)):
+            less = sum(grown)
+            if less < 0:
+                continue
+            who = every[length - less >= segments]
+            cut = length[who] - less
+            shifts = np.cumsum(grown)
+            spans = [_segment(cut, i, edits, same) for i in chosen]
+            add([(at + shift, n) for (at, n), shift in zip(spans, shifts[:-1], strict=True)], who, cut, which, 1)
+    return np.concatenate(keys), np.concatenate(owner)
 
 
 def _points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +160,7 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _pack(buckets: int, edits: int, least: int):
+def _pack(buckets: int, edits: int, least: int, same: int):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
@@ -155,7 +173,7 @@ def _pack(buckets: int, edits: int, least: int):
                 size = np.diff(first)[long]
                 flat = np.concatenate([[0], np.cumsum(size)])
                 points = points[np.arange(flat[-1]) + np.repeat(first[long] - flat[:-1], size)]
-                key, owner = line_keys(points, flat, edits)
+                key, owner = line_keys(points, flat, edits, same)
                 line, mark = h[one][long][owner], signatures(points, flat)[owner]
                 bucket = (((key >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
@@ -175,7 +193,7 @@ def _pack(buckets: int, edits: int, least: int):
     return run
 
 
-_MEETS = pa.schema([("grp", pa.int64()), ("a_block", pa.int32()), ("b_block", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+_MEETS = pa.schema([("grp", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _pairs(line: np.ndarray, mark: np.ndarray, cut: np.ndarray, indexed: np.ndarray, probing: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,8 +222,11 @@ def _pairs(line: np.ndarray, mark: np.ndarray, cut: np.ndarray, indexed: np.ndar
     return low[once], high[once]
 
 
-def _meet(edits: int, crowd: int):
-    """Lines of one bucket that share a key: pairs (a, b), or for crowded keys rows of pairs of blocks."""
+def _meet(edits: int, crowd: int, last: bool):
+    """Lines of one bucket that share a key: pairs (a, b), and the lines of crowded keys.
+
+    The latter go on alone (a), for the next round of keys; from the last round, or if too short for it, with their key and its blocks.
+    """
 
     def run(key, packs):
         k, line, mark = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in packs.column(c)]) for c, kind in (("keys", np.uint64), ("lines", np.int64), ("marks", np.uint64)))
@@ -224,15 +245,18 @@ def _meet(edits: int, crowd: int):
         low, high = _pairs(line, mark, cut[few], indexed[few], probing[few], edits)
         none = pa.nulls(len(low), pa.int32())
         out = [pa.table([pa.nulls(len(low), pa.int64()), none, none, pa.array(low), pa.array(high)], schema=_MEETS)]
+        onward = [np.zeros(0, np.int64)]
         for g in np.flatnonzero(crowded):
             members = np.unique(line[cut[g] : cut[g] + size[g]])
-            blocks = -(-len(members) // crowd)
-            block = np.arange(len(members)) * blocks // len(members)
-            for x in range(blocks):
-                for y in range(x, blocks):
-                    own = members[(block == x) | (block == y)]
-                    n = len(own)
-                    out.append(pa.table([pa.array(np.full(n, name[cut[g]]).view(np.int64)), pa.array(np.full(n, x), pa.int32()), pa.array(np.full(n, y), pa.int32()), pa.array(own), pa.nulls(n, pa.int64())], schema=_MEETS))
+            if not last and not name[cut[g]] & U64(1):
+                onward.append(members)
+                continue
+            n, blocks = len(members), -(-len(members) // crowd)
+            grp = np.full(n, name[cut[g]]).view(np.int64)
+            out.append(pa.table([pa.array(grp), pa.array(np.arange(n) * blocks // n, pa.int32()), pa.array(np.full(n, blocks), pa.int32()), pa.array(members), pa.nulls(n, pa.int64())], schema=_MEETS))
+        alone = np.unique(np.concatenate(onward))
+        none = pa.nulls(len(alone), pa.int32())
+        out.append(pa.table([pa.nulls(len(alone), pa.int64()), none, none, pa.array(alone), pa.nulls(len(alone), pa.int64())], schema=_MEETS))
         return pa.concat_tables(out)
 
     return run
@@ -325,14 +349,16 @@ def _verify(edits: int):
 def _verify_blocks(edits: int):
     def run(key, rows):
         rows = rows.sort_by("a")
-        line, column = rows.column("a").to_numpy(), rows.column("text")
+        line, block, column = rows.column("a").to_numpy(), rows.column("block").to_numpy(), rows.column("text")
+        two = len(np.unique(block)) > 1  # pairs within a block are met where it stands alone
         text = column.to_pylist()
         mark = signatures(*_points(column))
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo in range(0, len(line), 256):
             i, j = np.nonzero(apart(mark[lo : lo + 256, None], mark[None, :]) <= U64(2 * edits))
             i += lo
-            i, j = i[i < j], j[i < j]
+            fresh = (i < j) & ((block[i] != block[j]) | (not two))
+            i, j = i[fresh], j[fresh]
             good = within([text[x] for x in i], [text[x] for x in j], edits)
             us.append(line[i[good]])
             vs.append(line[j[good]])
@@ -341,24 +367,37 @@ def _verify_blocks(edits: int):
     return run
 
 
-def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
+def _round(texts: DataFrame, buckets: int, same: int, last: bool, edits: int, min_chars: int, crowd: int) -> DataFrame:
+    packs = texts.select("text").mapInArrow(_pack(buckets, edits, min_chars, same), "bucket int, keys binary, lines binary, marks binary")
+    met = packs.groupBy("bucket").applyInArrow(_meet(edits, crowd, last), "grp long, block int, blocks int, a long, b long")
+    return storage.materialize(met.withColumn("round", F.lit(same)), "meets")
+
+
+def line_links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, crowd: int = CROWD, rounds: int = ROUNDS) -> DataFrame:
     """(a, b): all pairs a < b of distinct lines (by hash) within ``edits``, of ``min_chars`` characters or more."""
     if min_chars <= edits:
         raise ValueError("lines must be longer than the edits allowed")
-    buckets = storage.parts(docs, PACK_BYTES)
-    packs = docs.select("text").mapInArrow(_pack(buckets, edits, min_chars), "bucket int, keys binary, lines binary, marks binary")
-    meets = storage.materialize(packs.groupBy("bucket").applyInArrow(_meet(edits, crowd), "grp long, a_block int, b_block int, a long, b long"), "meets")
-    pairs, crowds = meets.where("grp is null").select("a", "b").distinct(), meets.where("grp is not null")
-    wanted = storage.materialize(meets.select(F.explode(F.array("a", "b")).alias("line")).where("line is not null").distinct(), "candidates")
+    met = _round(docs, storage.parts(docs, PACK_BYTES), 1, rounds == 1, edits, min_chars, crowd)
+    wanted = storage.materialize(met.select(F.explode(F.array("a", "b")).alias("line")).where("line is not null").distinct(), "candidates")
     few = wanted.count() <= BROADCAST_LINES
     lines = docs.select("text").mapInArrow(_line_texts, "line long, text string")
     found = lines.join(F.broadcast(wanted) if few else wanted, "line", "left_semi").groupBy("line").agg(F.max("text").alias("text"))
     found = storage.materialize(found, "line-texts")
+    every = met
+    for same in range(2, rounds + 1):
+        onward = met.where("grp is null and b is null").select(F.col("a").alias("line")).distinct()
+        if onward.isEmpty():
+            break
+        texts_left = storage.materialize(found.join(onward, "line", "left_semi"), "crowded-lines")
+        met = _round(texts_left, storage.parts(texts_left, PACK_BYTES // same), same, same == rounds, edits, min_chars, crowd)
+        every = every.unionByName(met)
+    pairs, crowds = every.where("b is not null").select("a", "b").distinct(), every.where("grp is not null").drop("b")
     a = found.select(F.col("line").alias("a"), F.col("text").alias("a_text"))
     b = found.select(F.col("line").alias("b"), F.col("text").alias("b_text"))
     close = pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(_verify(edits), "a long, b long")
-    blocks = crowds.select("grp", "a_block", "b_block", "a").join(a.withColumnRenamed("a_text", "text"), "a")
-    dense = blocks.groupBy("grp", "a_block", "b_block").applyInArrow(_verify_blocks(edits), "a long, b long")
+    members = crowds.join(a.withColumnRenamed("a_text", "text"), "a").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = members.select("round", "grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "a", "text")
+    dense = blocks.groupBy("round", "grp", "low", "high").applyInArrow(_verify_blocks(edits), "a long, b long")
     return close.unionByName(dense).distinct()
 
 

@@ -291,6 +291,39 @@ def test_lines(spark, empty):
     assert [r["text"] for r in left] == [base, "", "", "short", None, "\n \n", texts[-1]]
 
 
+def test_close_lines_share_keys():
+    """In every round, of two lines within the edits the longer one probes a key of the shorter one."""
+    rng = np.random.default_rng(11)
+    for same in (1, 2, 3):
+        for _ in range(400):
+            x = "".join(rng.choice(list("abcé"), rng.integers(2 + same, 24)))
+            y = x
+            for _ in range(rng.integers(1, 3)):
+                at = int(rng.integers(0, len(y) + 1))
+                y = (y[:at] + str(rng.choice(list("abz"))) + y[at + int(rng.integers(0, 2)) :]) if rng.random() < 0.6 else y[:at] + y[at + 1 :]
+            if min(len(x), len(y)) < 2 + same:
+                continue
+            short, tall = sorted((x, y), key=len)
+            key, owner = line_dedup.line_keys(*line_dedup._points(pa.array([short, tall])), same=same)
+            index, probe = ({int(k) >> 1 for k in key[(owner == n) & (key % np.uint64(2) == n)]} for n in (0, 1))
+            assert index & probe, (same, x, y)
+
+
+def test_rounds_lose_no_link(spark):
+    """Boilerplate: many lines share their first or last part; by brute force, for every number of rounds."""
+    rng = np.random.default_rng(12)
+    lines = {f"Copyright of the house {''.join(rng.choice(list('abc'), 9))}" for _ in range(60)}
+    lines |= {f"{''.join(rng.choice(list('xyz'), rng.integers(3, 8)))}, all rights reserved" for _ in range(60)}
+    lines |= {f"Page {n} of 90" for n in range(1, 60)}
+    lines = sorted(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    text = {r["line"]: r["text"] for b in [df.select("text").mapInArrow(line_dedup._line_texts, "line long, text string")] for r in b.collect()}
+    want = {frozenset((x, y)) for k, x in enumerate(lines) for y in lines[:k] if line_dedup._plain(x, y) <= 2}
+    for rounds in (1, 2, 3):
+        got = line_dedup.line_links(df, crowd=4, rounds=rounds).collect()
+        assert len(got) == len(want) and {frozenset((text[r["a"]], text[r["b"]])) for r in got} == want
+
+
 def test_short_lines_link(spark):
     """Every pair of lines longer than the edits, by brute force, whether keys are crowded or not."""
     rng = np.random.default_rng(5)
