@@ -102,32 +102,33 @@ def line_keys(points: np.ndarray, first: np.ndarray, edits: int = EDITS, same: i
     are and the length of the line cut. Bit 1 marks lines too short to be cut into one segment more.
     """
     length = np.diff(first)
-    every = np.arange(len(length))
     segments = edits + same
-    keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-
-    def add(spans, who, cut, which, probe):
-        h = np.zeros(len(who), np.uint64)
-        for at, n in spans:
-            h = mix(h + place_hash(points, first[who] + at, first[who] + at + n))
-        h = mix(h ^ mix(cut.astype(np.uint64) * U64(64) + U64(which)))
-        keys.append((h & ~U64(3)) | ((cut <= segments).astype(np.uint64) << U64(1)) | U64(probe))
-        owner.append(who)
-
-    for which, chosen in enumerate(combinations(range(segments), same)):
-        gaps = _gaps(chosen, segments)
-        who = every[length >= segments]
-        add([_segment(length[who], i, edits, same) for i in chosen], who, length[who], which, 0)
-        for grown in product(*(range(-g, g + 1) for g in gaps)):
-            less = sum(grown)
-            if less < 0:
-                continue
-            who = every[length - less >= segments]
-            cut = length[who] - less
-            shifts = np.cumsum(grown)
-            spans = [_segment(cut, i, edits, same) for i in chosen]
-            add([(at + shift, n) for (at, n), shift in zip(spans, shifts[:-1], strict=True)], who, cut, which, 1)
-    return np.concatenate(keys), np.concatenate(owner)
+    begin, size = [[] for _ in range(same)], [[] for _ in range(same)]
+    owner, salt, marks = [], [], []
+    for less in range(edits + 1):
+        who = np.flatnonzero(length - less >= segments)
+        cut, start = length[who] - less, first[who]
+        spans = [_segment(cut, i, edits, same) for i in range(segments)]
+        short = (cut <= segments).astype(np.uint64) << U64(1)
+        for which, chosen in enumerate(combinations(range(segments), same)):
+            of = cut.astype(np.uint64) * U64(64) + U64(which)
+            shifts = [s for s in product(*(range(-g, g + 1) for g in _gaps(chosen, segments))) if sum(s) == less]
+            for probe, grown in ([] if less else [(0, (0,) * same)]) + [(1, s) for s in shifts]:
+                shift = 0
+                for j, i in enumerate(chosen):
+                    shift += grown[j]
+                    begin[j].append(start + spans[i][0] + shift)
+                    size[j].append(spans[i][1])
+                owner.append(who)
+                salt.append(of)
+                marks.append(short | U64(probe))
+    h = None
+    for at, n in zip(begin, size, strict=True):
+        at = np.concatenate(at)
+        one = place_hash(points, at, at + np.concatenate(n))
+        h = one if h is None else mix(h) + one
+    key = mix(h ^ mix(np.concatenate(salt)))
+    return (key & ~U64(3)) | np.concatenate(marks), np.concatenate(owner)
 
 
 def _points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
