@@ -29,6 +29,11 @@ def scan(docs: DataFrame, collection: str, start: str = "", limit: int = 0) -> D
     return found.limit(limit) if limit else found
 
 
+def key_scan(docs: DataFrame) -> DataFrame:
+    """(collection, key) of live documents; the scan reads no other column than these and the tombstone."""
+    return live(docs).select("collection", "key")
+
+
 def next_page(docs: DataFrame, collection: str, after: str, size: int) -> DataFrame:
     """The ``size`` live documents that follow key ``after``."""
     return live(docs).where((F.col("collection") == collection) & (F.col("key") > after)).orderBy("key").limit(size)

@@ -87,6 +87,25 @@ def tips(chain: DataFrame) -> DataFrame:
     return chain.groupBy("node").agg(F.max("lsn").alias("lsn"), F.max_by("entry_hash", "lsn").alias("entry_hash"))
 
 
+def entry_range(ledger: DataFrame, first: int, last: int, limit: int = 0) -> DataFrame:
+    """Entries with ``first`` <= lsn <= ``last`` in order of lsn, ``limit`` of them at most unless it is 0."""
+    rows = ledger.where(F.col("lsn").between(first, last)).orderBy("lsn")
+    return rows.limit(limit) if limit else rows
+
+
+def entries_of(ledger: DataFrame, kind: str = "", collection: str = "", node: str = "") -> DataFrame:
+    """Entries of a type, a collection and a node; an empty string asks for any."""
+    for column, wanted in (("type", kind), ("collection", collection), ("node", node)):
+        ledger = ledger.where(F.col(column) == wanted) if wanted else ledger
+    return ledger
+
+
+def tallest(ledger: DataFrame) -> DataFrame:
+    """One row (height, node): the highest lsn and the node that holds it, of several the last by name."""
+    heights = ledger.groupBy("node").agg(F.max("lsn").alias("lsn"))
+    return heights.agg(F.max("lsn").alias("height"), F.max_by("node", F.struct("lsn", "node")).alias("node"))
+
+
 def changes(ledger: DataFrame, since: int, limit: int = FEED_LIMIT) -> DataFrame:
     """Entries after ``since`` in order; the cursor of the next call is the last lsn returned."""
     return ledger.where(F.col("lsn") > since).orderBy("lsn").limit(limit)

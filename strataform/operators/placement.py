@@ -92,18 +92,31 @@ def candidates(peers: DataFrame, now_ms: int, stale_ms: int) -> DataFrame:
 def transit_holders(messages: DataFrame, nodes: DataFrame, copies: int) -> DataFrame:
     """(key_hash, chunk, rank, node): per chunk the holders by rendezvous hashing, turned by the chunk's number.
 
-    Every message meets every candidate node: nodes are few (checked by ``replicas``' bound).
+    A message is weighed against every other node than its owner, in one expression over a single broadcast row
+    of node names (4096 at most, checked): no row per message and node, no shuffle. Without such a node it has no holder.
     """
     if nodes.count() > 4096:
         raise ValueError("too many candidate nodes")
-    pairs = messages.join(F.broadcast(nodes), F.col("node") != F.col("owner"))
-    weight = F.sha2(F.concat_ws("|", "owner", "key_hash", "node").cast("binary"), 256)
-    best = F.array_sort(F.collect_list(F.struct(weight.alias("w"), "node")))
-    per = pairs.groupBy("owner", "key_hash", "chunk").agg(F.reverse(best).alias("r")).withColumn("top", F.slice(F.transform("r", lambda x: x["node"]), 1, copies))
+    names = nodes.agg(F.collect_set("node").alias("names"))
+    others = F.filter("names", lambda n: n != F.col("owner"))
+    weighed = F.transform(others, lambda n: F.struct(F.sha2(F.concat_ws("|", "owner", "key_hash", n).cast("binary"), 256).alias("w"), n.alias("node")))
+    top = F.transform(F.slice(F.reverse(F.array_sort(weighed)), 1, copies), lambda x: x["node"])
+    per = messages.join(F.broadcast(names)).withColumn("top", top).where(F.size("top") > 0)
     turned = F.transform(F.sequence(F.lit(0), F.size("top") - 1), lambda i: F.element_at("top", F.pmod(i + F.col("chunk"), F.size("top")).cast("int") + 1))
     return per.select("key_hash", "chunk", F.posexplode(turned).alias("rank", "node"))
 
 
+def stale(peers: DataFrame, now_ms: int, stale_ms: int) -> DataFrame:
+    """(node): peers last seen more than ``stale_ms`` ago; one never seen is not listed."""
+    return peers.where(F.lit(now_ms) - F.col("seen_ms") > stale_ms).select("node")
+
+
+def ingest_node(peers: DataFrame, preferred: str) -> DataFrame:
+    """(node): where a write goes, one row at most: the preferred peer if active, else the active one with most space left, ties by name."""
+    left = F.col("quota") - F.col("used")
+    return peers.where("state = 'active'").orderBy((F.col("node") == preferred).cast("int").desc(), left.desc(), "node").limit(1).select("node")
+
+
 def suspicion(silence_ms: Column, timeout_ms: int, failures: Column, upgrade_at: int = 3) -> Column:
     """alive, suspect or dead by silence; failing probes raise it one step."""
     step = F.when(silence_ms > 3 * timeout_ms, 2).when(silence_ms > timeout_ms, 1).otherwise(0) + F.when(failures >= upgrade_at, 1).otherwise(0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import documents as D
 from ..operators import files as X
+from ..operators import ledger as L
 from ..sources import ingest
 from ..sources.engines import Router
 from . import tables as T
@@ -132,9 +133,18 @@ def _json_equal(s, d):
 
 
 Q = {
-    "s01_doc_get": (lambda s, d: D.point_get(T.orders_docs(s, d), "4-NOT SPECIFIED", "00000001").select("key", "doc", "updated_ms"), f"WITH {ORDERS_SQL} SELECT key, doc, updated_ms FROM docs WHERE collection = '4-NOT SPECIFIED' AND key = '00000001' AND NOT deleted"),
-    "s02_doc_scan_range": (lambda s, d: D.scan(T.orders_docs(s, d), _C, "00000100", 50).select("key", "status"), f"WITH {ORDERS_SQL} SELECT key, status FROM docs WHERE collection = '{_C}' AND key >= '00000100' AND NOT deleted ORDER BY key LIMIT 50"),
-    "s03_doc_page_keyset": (lambda s, d: D.next_page(T.orders_docs(s, d), _C, "00000400", 25).select("key", "price"), f"WITH {ORDERS_SQL} SELECT key, price FROM docs WHERE collection = '{_C}' AND key > '00000400' AND NOT deleted ORDER BY key LIMIT 25"),
+    "s01_doc_get": (
+        lambda s, d: D.point_get(T.orders_docs(s, d), "4-NOT SPECIFIED", "00000001").select("key", "doc", "updated_ms"),
+        f"WITH {ORDERS_SQL} SELECT key, doc, updated_ms FROM docs WHERE collection = '4-NOT SPECIFIED' AND key = '00000001' AND NOT deleted",
+    ),
+    "s02_doc_scan_range": (
+        lambda s, d: D.scan(T.orders_docs(s, d), _C, "00000100", 50).select("key", "status"),
+        f"WITH {ORDERS_SQL} SELECT key, status FROM docs WHERE collection = '{_C}' AND key >= '00000100' AND NOT deleted ORDER BY key LIMIT 50",
+    ),
+    "s03_doc_page_keyset": (
+        lambda s, d: D.next_page(T.orders_docs(s, d), _C, "00000400", 25).select("key", "price"),
+        f"WITH {ORDERS_SQL} SELECT key, price FROM docs WHERE collection = '{_C}' AND key > '00000400' AND NOT deleted ORDER BY key LIMIT 25",
+    ),
     "s06_latest_per_key": (_newest, _NEWEST_SQL),
     "s18_collections_list": (lambda s, d: D.collections(T.orders_docs(s, d)), "SELECT DISTINCT o_orderpriority AS collection FROM orders"),
     "s20_engine_catalogue": (lambda s, d: Router(s).catalogue(), None),
@@ -142,14 +152,25 @@ Q = {
     "s26_key_index": (lambda s, d: _newest(s, d).groupBy("engine").agg(F.count(F.lit(1)).alias("keys")), f"SELECT engine, count(*) AS keys FROM ({_NEWEST_SQL}) GROUP BY 1"),
     "s28_file_reassemble": (_base64_parts, "SELECT lpad(page_id::VARCHAR, 8, '0') AS key, strlen(html)::BIGINT AS size, sha256(html) AS sha256, '' AS problem FROM pages"),
     "p02_lookup_eq_text": (lambda s, d: D.equal_lookup(T.orders_docs(s, d), F.col("status"), F.lit("F"), 200).select(*_KEYS), f"WITH {ORDERS_SQL} SELECT collection, key FROM docs WHERE status = 'F' AND NOT deleted ORDER BY 1, 2 LIMIT 200"),
-    "p02_lookup_eq_number": (lambda s, d: D.equal_lookup(T.orders_docs(s, d), F.col("cust").cast("double"), F.lit(30.0), 1000).select(*_KEYS), f"WITH {ORDERS_SQL} SELECT collection, key FROM docs WHERE cust = 30.0 AND NOT deleted ORDER BY 1, 2 LIMIT 1000"),
+    "p02_lookup_eq_number": (
+        lambda s, d: D.equal_lookup(T.orders_docs(s, d), F.col("cust").cast("double"), F.lit(30.0), 1000).select(*_KEYS),
+        f"WITH {ORDERS_SQL} SELECT collection, key FROM docs WHERE cust = 30.0 AND NOT deleted ORDER BY 1, 2 LIMIT 1000",
+    ),
     "p03_json_path_eq": (lambda s, d: table(s, d, "events").where(F.get_json_object("props", "$.k").cast("int") == 42).select("event_id", "event_type"), "SELECT event_id, event_type FROM events WHERE (props::JSON ->> '$.k')::INT = 42"),
-    "p05_files_filter": (lambda s, d: X.matching(T.files(s, d), "text/", 1000, 100_000, 1_700_500_000_000, 1_700_010_000_000).select("key", "filename"), f"WITH {FILES_SQL} SELECT key, filename FROM files WHERE starts_with(mime, 'text/') AND size_bytes BETWEEN 1000 AND 100000 AND created_ms < 1700500000000 AND created_ms > 1700010000000"),
+    "p05_files_filter": (
+        lambda s, d: X.matching(T.files(s, d), "text/", 1000, 100_000, 1_700_500_000_000, 1_700_010_000_000).select("key", "filename"),
+        f"WITH {FILES_SQL} SELECT key, filename FROM files WHERE starts_with(mime, 'text/') AND size_bytes BETWEEN 1000 AND 100000 AND created_ms < 1700500000000 "
+        f"AND created_ms > 1700010000000",
+    ),
     "p06_files_classes": (_client_filters, f"""WITH {FILES_SQL} SELECT CASE mime WHEN 'image/png' THEN 'image' WHEN 'text/html' THEN 'code' ELSE 'other' END AS category,
         CASE WHEN size_bytes < 1048576 THEN 'small' WHEN size_bytes <= 10485760 THEN 'medium' ELSE 'large' END AS size_class,
         CASE WHEN floor((1700900000000 - created_ms) / 86400000) < 1 THEN 'day' WHEN floor((1700900000000 - created_ms) / 86400000) < 7 THEN 'week' WHEN floor((1700900000000 - created_ms) / 86400000) < 30 THEN 'month' ELSE 'older' END AS age, count(*) AS n FROM files GROUP BY 1, 2, 3"""),
-    "p07_ledger_filter": (lambda s, d: T.ledger(s, d).where((F.col("type") == "PUT") & (F.col("collection") == "c1") & (F.col("node") == "n2")).select("lsn", "key"), f"WITH {T.LEDGER_SQL} SELECT lsn, key FROM ledger WHERE type = 'PUT' AND collection = 'c1' AND node = 'n2'"),
-    "p08_collection_search": (lambda s, d: D.collections(T.orders_docs(s, d)).withColumn("tier", D.tier(F.col("collection"), "2-")).where("tier is not null").select("collection", F.col("tier").cast("long").alias("tier")), "SELECT DISTINCT o_orderpriority AS collection, (CASE WHEN lower(o_orderpriority) = '2-' THEN 0 WHEN starts_with(lower(o_orderpriority), '2-') THEN 1 ELSE 2 END)::BIGINT AS tier FROM orders WHERE contains(lower(o_orderpriority), '2-')"),
+    "p07_ledger_filter": (lambda s, d: L.entries_of(T.ledger(s, d), "PUT", "c1", "n2").select("lsn", "key"), f"WITH {T.LEDGER_SQL} SELECT lsn, key FROM ledger WHERE type = 'PUT' AND collection = 'c1' AND node = 'n2'"),
+    "p08_collection_search": (
+        lambda s, d: D.collections(T.orders_docs(s, d)).withColumn("tier", D.tier(F.col("collection"), "2-")).where("tier is not null").select("collection", F.col("tier").cast("long").alias("tier")),
+        "SELECT DISTINCT o_orderpriority AS collection, (CASE WHEN lower(o_orderpriority) = '2-' THEN 0 WHEN starts_with(lower(o_orderpriority), '2-') THEN 1 "
+        "ELSE 2 END)::BIGINT AS tier FROM orders WHERE contains(lower(o_orderpriority), '2-')",
+    ),
     "p09_schema_violations": (_violations, _VIOLATIONS_SQL),
     "p10_acl_readable": (lambda s, d: D.readable(_acl(s, d).select("collection"), _acl(s, d), "u1"), f"WITH {_ACL_SQL} SELECT collection FROM acl WHERE NOT private OR owner = 'u1' OR list_contains(readers, 'u1')"),
     "p11_live_documents": (lambda s, d: D.live(T.orders_docs(s, d)).groupBy("collection").agg(F.count(F.lit(1)).alias("n")), f"WITH {ORDERS_SQL} SELECT collection, count(*) AS n FROM docs WHERE NOT deleted GROUP BY 1"),
@@ -158,17 +179,32 @@ Q = {
         FROM docs WHERE contains(key, '000012') AND NOT deleted ORDER BY 1, 4 DESC, 2, 3 LIMIT 300"""),
     "x02_mesh_lookup": (_mesh, f"""WITH {ORDERS_SQL}, hits AS (SELECT collection, key, 'n' || (cust % 3) AS node FROM docs WHERE contains(key, '12') AND NOT deleted UNION SELECT collection, key, 'n0' FROM docs WHERE contains(key, '12') AND NOT deleted)
         SELECT collection, key, string_agg(node, ',' ORDER BY node) AS nodes, key = '00000012' AS exact FROM hits GROUP BY 1, 2"""),
-    "x03_files_search": (lambda s, d: X.search(T.files(s, d), "PHOTO1", 0, 50).select("key", F.col("score").cast("long").alias("score")), f"WITH {FILES_SQL}, sc AS (SELECT *, CASE WHEN contains(lower(filename), 'photo1') THEN 10 ELSE 0 END + CASE WHEN contains(lower(excerpt), 'photo1') THEN 1 ELSE 0 END AS score FROM files) SELECT key, score::BIGINT AS score FROM sc WHERE score > 0 ORDER BY score DESC, created_ms DESC, key LIMIT 50"),
+    "x03_files_search": (
+        lambda s, d: X.search(T.files(s, d), "PHOTO1", 0, 50).select("key", F.col("score").cast("long").alias("score")),
+        f"WITH {FILES_SQL}, sc AS (SELECT *, CASE WHEN contains(lower(filename), 'photo1') THEN 10 ELSE 0 END + CASE WHEN contains(lower(excerpt), 'photo1') THEN 1 "
+        f"ELSE 0 END AS score FROM files) SELECT key, score::BIGINT AS score FROM sc WHERE score > 0 ORDER BY score DESC, created_ms DESC, key LIMIT 50",
+    ),
     "x04_fts_or_search": (lambda s, d: X.or_search(X.postings(_text_files(s, d)), "The that the"), f"""WITH {_TOKENS}, w AS (SELECT doc_id, term, count(*) AS w FROM toks GROUP BY 1, 2 UNION ALL SELECT doc_id, 'the', 10 FROM documents)
         SELECT doc_id AS key, sum(w * CASE term WHEN 'the' THEN 2 ELSE 1 END)::BIGINT AS score FROM w WHERE term IN ('the', 'that') GROUP BY 1"""),
     "x06_fts_tokens": (_tokens, f"WITH {_TOKENS} SELECT term, count(*) AS n FROM toks GROUP BY 1"),
     "x07_fts_bm25": (_bm25, _BM25_SQL),
     "t02_files_page": (_page, f"WITH {FILES_SQL} SELECT key, size_bytes, (SELECT count(*) FROM files) AS total, (SELECT count(*) FROM files) > 25 AS has_more FROM files ORDER BY size_bytes DESC, collection, key LIMIT 20 OFFSET 5"),
     "t03_files_recent": (lambda s, d: X.recent(T.files(s, d)).select("key", "created_ms"), f"WITH {FILES_SQL} SELECT key, created_ms FROM files ORDER BY created_ms DESC, collection, key LIMIT 20"),
-    "a04_collection_checksum": (lambda s, d: D.fingerprint(T.orders_docs(s, d)), f"WITH {ORDERS_SQL} SELECT collection, count(*) AS docs, sha256(string_agg(key || '=' || clock, chr(10) ORDER BY key || '=' || clock) || chr(10)) AS checksum FROM docs WHERE NOT deleted GROUP BY 1"),
-    "a07_quota_by_engine": (lambda s, d: D.quota(_versions(s, d).withColumn("bytes", F.col("value").cast("long")), 1_000_000), "SELECT 'e' || (l_linenumber % 2) AS engine, sum(l_quantity::BIGINT)::BIGINT AS bytes, round(sum(l_quantity::BIGINT) / 1000000.0::DOUBLE, 6) AS ratio FROM lineitem GROUP BY 1"),
+    "a04_collection_checksum": (
+        lambda s, d: D.fingerprint(T.orders_docs(s, d)),
+        f"WITH {ORDERS_SQL} SELECT collection, count(*) AS docs, sha256(string_agg(key || '=' || clock, chr(10) ORDER BY key || '=' || clock) || chr(10)) AS checksum FROM docs "
+        f"WHERE NOT deleted GROUP BY 1",
+    ),
+    "a07_quota_by_engine": (
+        lambda s, d: D.quota(_versions(s, d).withColumn("bytes", F.col("value").cast("long")), 1_000_000),
+        "SELECT 'e' || (l_linenumber % 2) AS engine, sum(l_quantity::BIGINT)::BIGINT AS bytes, round(sum(l_quantity::BIGINT) / 1000000.0::DOUBLE, 6) AS ratio FROM lineitem "
+        "GROUP BY 1",
+    ),
     "f16_hlc_text": (lambda s, d: T.orders_docs(s, d).select("key", scalars.hlc_text(scalars.parse_hlc(F.col("clock"))).alias("clock")), f"WITH {ORDERS_SQL} SELECT key, clock FROM docs"),
-    "f07_key_hash": (lambda s, d: T.orders_docs(s, d).select("key", scalars.key_hash(F.col("collection"), F.col("key")).alias("hash")), f"WITH {ORDERS_SQL} SELECT key, sha256(encode(collection) || '\\x00'::BLOB || encode(key)) AS hash FROM docs"),
+    "f07_key_hash": (
+        lambda s, d: T.orders_docs(s, d).select("key", scalars.key_hash(F.col("collection"), F.col("key")).alias("hash")),
+        f"WITH {ORDERS_SQL} SELECT key, sha256(encode(collection) || '\\x00'::BLOB || encode(key)) AS hash FROM docs",
+    ),
     "r04_acl_effective": (lambda s, d: D.effective_acl(_acl(s, d)).select("collection", "source", "private", "owner"), f"""WITH RECURSIVE {_ACL_SQL}, up(collection, source, parent, depth) AS (SELECT collection, collection, parent, 0 FROM acl
         UNION ALL SELECT u.collection, a.collection, a.parent, depth + 1 FROM up u JOIN acl a ON a.collection = u.parent WHERE depth < 16),
         fin AS (SELECT collection, max_by(source, depth) AS source, max_by(coalesce(parent, ''), depth) AS parent FROM up GROUP BY 1)
