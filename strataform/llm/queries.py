@@ -15,6 +15,7 @@ from .mixing import MIX_SQL, mix
 from .quality_classifier import classify
 from .quality_rules import MAX_DOCS_SHARE, MIN_DOCS, MIN_KEPT_SHARE, MIN_WORDS, digests
 from .simhash import simhash_dedup
+from .simhash_sql import SIMHASH_SQL
 from .substring_dedup import WINDOW, substring_dedup
 from .warc import MIN_PAYLOAD, archive_pages
 
@@ -49,6 +50,7 @@ _NORMAL = _WORDS.format("translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', '
 _NORMAL_LINE = f"coalesce(array_to_string({_NORMAL}, ' '), '')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_simhash_near_dedup": SIMHASH_SQL,
     "op5_quality_rules": f"""
         WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
         split AS MATERIALIZED (SELECT r, doc_id, source, text, {_WORDS.format("text")} AS words, string_split(text, chr(10)) AS parts FROM docs),

@@ -25,6 +25,10 @@ ODD = [
     (8, None, "no host\n" + " ".join(f"é{i}" for i in range(55))),
     (9, None, "no  Host\n" + " ".join(f"q{i}" for i in range(55))),
     (10, None, "no host\n" + " ".join(f"r{i}" for i in range(55))),
+    (11, "b", " ".join("Ü" * k + "x" * j for k in range(1, 40, 6) for j in range(9))),
+    (12, "b", "one two"),
+    (13, "b", "ONE\ttwo"),
+    (14, "b", "one"),
 ]
 
 
